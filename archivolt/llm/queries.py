@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivolt.llm import mixing, packing, splitting
+from archivolt.llm import mixing, packing, spans, splitting
 from archivolt.llm.tokens import token_count_sql
 from archivolt.runtime import table
 
@@ -52,6 +52,16 @@ def p7_sizes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of documents that share at least 200 characters in a row."""
+    return spans.shared_pairs(table(spark, d, "documents"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """How much of every document stands word for word in others."""
+    return spans.shared_report(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
@@ -60,6 +70,8 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_report": p7_report,
     "p7_sizes": p7_sizes,
+    "p8_found": p8_found,
+    "p8_report": p8_report,
 }
 
 ORACLES = {
@@ -82,5 +94,13 @@ t AS (
   SELECT m.source, m.target_share, m.max_repeats, coalesce(s.n, 0) AS n
   FROM mix_targets m LEFT JOIN sized s ON s.key = lower(trim(m.source)))
 SELECT source FROM t WHERE max_repeats * n < target_share * (SELECT sum(n) FROM t)
+""",
+    "p8_found": """
+WITH w AS (
+  SELECT DISTINCT doc_id, hash(substring(text, i, 200)) AS h
+  FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+many AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+m AS (SELECT w.* FROM w JOIN many USING (h))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM m a JOIN m b ON a.h = b.h AND a.doc_id < b.doc_id
 """,
 }
