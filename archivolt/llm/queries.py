@@ -5,11 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivolt.llm import mixing, packing, spans, splitting
+from archivolt.llm import language, mixing, packing, spans, splitting
 from archivolt.llm.tokens import token_count_sql
 from archivolt.runtime import table
 
 
+def _item(df: DataFrame, kind: str, item_id: str, **columns: str) -> DataFrame:
+    return df.select(
+        F.lit(kind).alias("item_kind"), F.col(item_id).cast("string").alias("item_id"), *[F.col(c).alias(n) for n, c in columns.items()]
+    )
+
+
+def _stretches(spark: SparkSession, d: str) -> DataFrame:
+    texts = (
+        _item(table(spark, d, "documents"), "document", "doc_id", text="text")
+        .unionByName(_item(table(spark, d, "atoms"), "atom", "atom_id", text="text"))
+        .unionByName(_item(table(spark, d, "segments"), "transcript", "transcript_id", text="text"))
+    )
+    return language.stretches(texts, language.fit_samples(table(spark, d, "lang_samples")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Items whose language label is missing or wrong, or that mix languages."""
+    labels = (
+        _item(table(spark, d, "documents"), "document", "doc_id", label="lang")
+        .unionByName(_item(table(spark, d, "atoms"), "atom", "atom_id", label="language"))
+        .unionByName(_item(table(spark, d, "transcripts"), "transcript", "transcript_id", label="language"))
+    )
+    return language.wrong_labels(language.item_languages(_stretches(spark, d)), labels)
+
+
+def p3_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch of one language with its confidence; offsets of transcripts are within a segment."""
+    return _stretches(spark, d)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The chunks that had to be split, from their pieces."""
     pieces = splitting.split_chunks(table(spark, d, "chunks"), table(spark, d, "documents"))
@@ -63,6 +93,8 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_stretches": p3_stretches,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,
