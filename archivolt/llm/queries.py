@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivolt.llm import language, mixing, packing, spans, splitting
+from archivolt.llm import abuse, language, mixing, packing, spans, splitting
 from archivolt.llm.tokens import token_count_sql
 from archivolt.runtime import table
 
@@ -16,6 +16,23 @@ def _item(df: DataFrame, kind: str, item_id: str, **columns: str) -> DataFrame:
     )
 
 
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    docs = _item(table(spark, d, "documents"), "document", "doc_id", source="source", text="text")
+    atoms = _item(table(spark, d, "atoms"), "atom", "atom_id", text="text").withColumn("source", F.lit(None).cast("string"))
+    texts = docs.unionByName(atoms)
+    return abuse.score(texts, abuse.fit_labels(texts, table(spark, d, "moderation_labels")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The categories of abusive content in documents and atoms."""
+    return abuse.found_categories(_scores(spark, d))
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of abusive content by source of the documents."""
+    return abuse.source_rates(_scores(spark, d))
+
+
 def _stretches(spark: SparkSession, d: str) -> DataFrame:
     texts = (
         _item(table(spark, d, "documents"), "document", "doc_id", text="text")
@@ -93,6 +110,8 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_rates": p2_rates,
     "p3_found": p3_found,
     "p3_stretches": p3_stretches,
     "p5_found": p5_found,
