@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivolt.llm import abuse, language, mixing, packing, spans, splitting
+from archivolt.llm import abuse, language, mixing, packing, pii, spans, splitting
 from archivolt.llm.tokens import token_count_sql
 from archivolt.runtime import table
 
@@ -16,6 +16,23 @@ def _item(df: DataFrame, kind: str, item_id: str, **columns: str) -> DataFrame:
     )
 
 
+def _private_texts(spark: SparkSession, d: str) -> DataFrame:
+    segments = table(spark, d, "segments").select(
+        F.lit("segment").alias("item_kind"), F.concat_ws("#", "transcript_id", "seg_index").alias("item_id"), "text"
+    )
+    return _item(table(spark, d, "atoms"), "atom", "atom_id", text="text").unionByName(segments)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Type and place of every personal datum in atoms and segments."""
+    return pii.find_all(_private_texts(spark, d)).select("item_kind", "item_id", "pii_type", "span_start").distinct()
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Atoms and segments with placeholders for their personal data, one row per item and text."""
+    return pii.redact_all(_private_texts(spark, d)).distinct()
+
+
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     docs = _item(table(spark, d, "documents"), "document", "doc_id", source="source", text="text")
     atoms = _item(table(spark, d, "atoms"), "atom", "atom_id", text="text").withColumn("source", F.lit(None).cast("string"))
@@ -110,6 +127,8 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_redacted": p1_redacted,
     "p2_found": p2_found,
     "p2_rates": p2_rates,
     "p3_found": p3_found,
