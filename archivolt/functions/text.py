@@ -28,8 +28,9 @@ REDACTION_RULES = (
 HORIZONTAL_SPACE = r"[ \t  -   　]+"
 #: white space as Python's str.strip understands it
 STRIP = r"[\s\u001c-\u001f\u0085   -     　]+"
-#: one alternation: the leftmost match wins, and of those that start together the earlier rule
-_ANY_RULE = "(?U)" + "|".join(f"(?:{p})" for _, p, _ in REDACTION_RULES)
+#: one alternation: the leftmost match wins, and of those that start together the earlier rule. The runs before "://" and
+#: "@" cannot hold what follows them, so they are matched without backtracking.
+_ANY_RULE = "(?U)" + "|".join(f"(?:{p.replace('*://', '*+://').replace(']+@[A-Z', ']++@[A-Z')})" for _, p, _ in REDACTION_RULES)
 
 
 @F.pandas_udf(T.StringType())
@@ -79,17 +80,25 @@ def placeholder_of(rule: Column) -> Column:
     return out
 
 
+def redaction_pieces(text: Column) -> Column:
+    """What stands before, between and after the matches: array<string>, one more than the matches."""
+    return F.split(text, _ANY_RULE, -1)
+
+
 def redact(text: Column) -> Column:
     """Text with every match replaced by its placeholder."""
-    pieces = F.split(text, _ANY_RULE, -1)
-    marks = F.transform(redaction_matches(text), lambda m: placeholder_of(rule_of(m)))
-    return F.array_join(F.zip_with(pieces, F.concat(marks, F.array(F.lit(""))), lambda p, m: F.concat(p, m)), "")
+    return join_redacted(redaction_pieces(text), F.transform(redaction_matches(text), rule_of))
+
+
+def join_redacted(pieces: Column, kinds: Column) -> Column:
+    """The redacted text from its pieces and the rules of its matches."""
+    marks = F.concat(F.transform(kinds, placeholder_of), F.array(F.lit("")))
+    return F.array_join(F.zip_with(pieces, marks, lambda p, m: F.concat(p, m)), "")
 
 
-def redaction_spans(text: Column) -> Column:
+def redaction_spans(pieces: Column, kinds: Column) -> Column:
     """array<struct<kind, start, end, replacement>>: places of the placeholders in the redacted text, never what they hide."""
-    lengths = F.transform(F.split(text, _ANY_RULE, -1), lambda p: F.length(p))
-    kinds = F.transform(redaction_matches(text), rule_of)
+    lengths = F.transform(pieces, lambda p: F.length(p))
 
     def span(lengths: Column, kinds: Column, kind: Column, i: Column) -> Column:
         mark = placeholder_of(kind)
@@ -98,7 +107,7 @@ def redaction_spans(text: Column) -> Column:
         )
         return F.struct(kind.alias("kind"), before.alias("start"), (before + F.length(mark)).alias("end"), mark.alias("replacement"))
 
-    return let(lengths, lambda n: let(kinds, lambda ks: F.transform(ks, lambda k, i: span(n, ks, k, i))))
+    return let(lengths, lambda n: F.transform(kinds, lambda k, i: span(n, kinds, k, i)))
 
 
 def clean(text: Column, mode: str = "both") -> Column:

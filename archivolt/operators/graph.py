@@ -25,7 +25,7 @@ def candidates(text: Column) -> Column:
 
 def mentions(units: DataFrame, group: str, unit: list[str], text: str = "text", min_mentions: int = 1) -> DataFrame:
     """(group, *unit, pos, key, label): mentions of the entities that at least ``min_mentions`` units of their group hold."""
-    each = units.select(group, *unit, F.posexplode(candidates(F.col(text))).alias("pos", "label")).withColumn("key", F.lower("label"))
+    each = units.select(group, *unit, F.posexplode_outer(candidates(F.col(text))).alias("pos", "label")).where("label is not null").withColumn("key", F.lower("label"))
     if min_mentions <= 1:
         return each
     frequent = each.groupBy(group, "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_mentions)

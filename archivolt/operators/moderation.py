@@ -84,7 +84,8 @@ def flags(df: DataFrame, rules: Sequence[Rule], text: str = "text") -> DataFrame
     kept = [c for c in df.columns if c != text]
     return (
         df.where(body.rlike(any_pattern))
-        .select(*kept, F.explode(F.array_sort(found)).alias("f"))
+        .select(*kept, F.explode_outer(F.array_sort(found)).alias("f"))
+        .where("f is not null")
         .select(*kept, "f.rule", "f.category", "f.severity", "f.start", "f.end")
     )
 

@@ -23,7 +23,9 @@ def transcript_text(segments: DataFrame, key: str = "transcript_id", order: str
 def paragraphs(df: DataFrame, text: str = "text", pattern: str = r"\n\n") -> DataFrame:
     """All columns but the text, plus (para, text): non-empty stripped paragraphs, numbered from 0."""
     found = F.filter(F.transform(F.split(F.col(text), pattern), strip), lambda p: p != "")
-    return df.withColumn("_p", found).select(*[c for c in df.columns if c != text], F.posexplode("_p").alias("para", "text"))
+    # the outer form, as the optimizer would otherwise test the array for emptiness by computing it once more
+    kept = [c for c in df.columns if c != text]
+    return df.select(*kept, F.posexplode_outer(found).alias("para", "text")).where("text is not null")
 
 
 def paragraph_atoms(df: DataFrame, text: str = "text", redacted: bool = True) -> DataFrame:
@@ -82,6 +84,6 @@ def chunks(df: DataFrame, text: str = "text", max_chars: int = 600, overlap: int
 
     all_windows = F.flatten(F.transform(_paragraph_places(F.col(text)), windows))
     kept = [c for c in df.columns if c != text]
-    return df.select(*kept, F.posexplode(all_windows).alias("chunk_id", "c")).select(
+    return df.select(*kept, F.posexplode_outer(all_windows).alias("chunk_id", "c")).where("c is not null").select(
         *kept, "chunk_id", "c.text", "c.char_start", "c.char_end", sha256(F.col("c.text")).alias("text_sha256")
     )

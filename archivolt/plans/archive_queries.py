@@ -11,7 +11,7 @@ from archivolt.operators.hierarchy import build_hierarchy, parent_links
 from archivolt.operators.neighbours import neighbours
 from archivolt.operators.vectors import hash_embedding
 from archivolt.plans import pipelines
-from archivolt.runtime import table
+from archivolt.runtime import spread, table
 from archivolt.streaming import watch
 
 QUERIES: dict = {}
@@ -37,7 +37,7 @@ def query(sql: str | None = None):
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 # ---- text ----------------------------------------------------------------------------------------------------------

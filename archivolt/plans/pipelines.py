@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archivolt.functions.text import normalise, redact, redaction_spans, sha256
+from archivolt.functions.text import join_redacted, normalise, redaction_matches, redaction_pieces, redaction_spans, rule_of, sha256
 from archivolt.operators import graph, moderation, segments
 from archivolt.operators.vectors import hash_embedding
 
@@ -31,7 +31,9 @@ def text(df: DataFrame, mode: str = "both") -> DataFrame:
     if mode == "normalize":
         out = body.withColumn("spans", F.array().cast("array<struct<kind:string,start:int,end:int,replacement:string>>"))
     else:
-        out = body.select("doc_id", redact(F.col("text")).alias("text"), redaction_spans(F.col("text")).alias("spans"))
+        # the text is matched twice, for the pieces and for the matches; all else works on these
+        found = body.select("doc_id", redaction_pieces(F.col("text")).alias("p"), F.transform(redaction_matches(F.col("text")), rule_of).alias("k"))
+        out = found.select("doc_id", join_redacted(F.col("p"), F.col("k")).alias("text"), redaction_spans(F.col("p"), F.col("k")).alias("spans"))
     return out.withColumn("text_sha256", sha256(F.col("text")))
 
 

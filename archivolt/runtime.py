@@ -9,9 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table ``name`` of a data folder (one file or one directory)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, busy: bool = False) -> DataFrame:
+    """The Parquet table ``name`` of a data folder (one file or one directory); ``busy``: see ``spread``."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if busy else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan for much work per row: one with splits for less than half of the cores is dealt out over all of them.
+
+    Only scans of a few splits are ever moved, so what is moved is bounded by the split size; larger scans stay as they
+    are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() * 2 <= cores else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
