@@ -17,10 +17,10 @@ def _item(df: DataFrame, kind: str, item_id: str, **columns: str) -> DataFrame:
 
 
 def _private_texts(spark: SparkSession, d: str) -> DataFrame:
-    segments = table(spark, d, "segments").select(
+    segments = table(spark, d, "segments", busy=True).select(
         F.lit("segment").alias("item_kind"), F.concat_ws("#", "transcript_id", "seg_index").alias("item_id"), "text"
     )
-    return _item(table(spark, d, "atoms"), "atom", "atom_id", text="text").unionByName(segments)
+    return _item(table(spark, d, "atoms", busy=True), "atom", "atom_id", text="text").unionByName(segments)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -34,8 +34,8 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    docs = _item(table(spark, d, "documents"), "document", "doc_id", source="source", text="text")
-    atoms = _item(table(spark, d, "atoms"), "atom", "atom_id", text="text").withColumn("source", F.lit(None).cast("string"))
+    docs = _item(table(spark, d, "documents", busy=True), "document", "doc_id", source="source", text="text")
+    atoms = _item(table(spark, d, "atoms", busy=True), "atom", "atom_id", text="text").withColumn("source", F.lit(None).cast("string"))
     texts = docs.unionByName(atoms)
     return abuse.score(texts, abuse.fit_labels(texts, table(spark, d, "moderation_labels")))
 
@@ -52,9 +52,9 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def _stretches(spark: SparkSession, d: str) -> DataFrame:
     texts = (
-        _item(table(spark, d, "documents"), "document", "doc_id", text="text")
-        .unionByName(_item(table(spark, d, "atoms"), "atom", "atom_id", text="text"))
-        .unionByName(_item(table(spark, d, "segments"), "transcript", "transcript_id", text="text"))
+        _item(table(spark, d, "documents", busy=True), "document", "doc_id", text="text")
+        .unionByName(_item(table(spark, d, "atoms", busy=True), "atom", "atom_id", text="text"))
+        .unionByName(_item(table(spark, d, "segments", busy=True), "transcript", "transcript_id", text="text"))
     )
     return language.stretches(texts, language.fit_samples(table(spark, d, "lang_samples")))
 
@@ -76,41 +76,41 @@ def p3_stretches(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The chunks that had to be split, from their pieces."""
-    pieces = splitting.split_chunks(table(spark, d, "chunks"), table(spark, d, "documents"))
+    pieces = splitting.split_chunks(table(spark, d, "chunks"), table(spark, d, "documents", busy=True))
     return pieces.where("piece = 0").select("doc_id", "chunk_id", "forced")
 
 
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of all oversized chunks, with their places in the documents."""
-    return splitting.split_chunks(table(spark, d, "chunks"), table(spark, d, "documents"))
+    return splitting.split_chunks(table(spark, d, "chunks"), table(spark, d, "documents", busy=True))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The documents that had to be split, from the packing."""
-    packed = packing.pack(table(spark, d, "documents"))
+    packed = packing.pack(table(spark, d, "documents", busy=True))
     return packed.where("is_split").select("doc_id").distinct()
 
 
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     """Number of containers and how full they are."""
-    return packing.fill_report(packing.pack(table(spark, d, "documents")))
+    return packing.fill_report(packing.pack(table(spark, d, "documents", busy=True)))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """The sources that cannot reach their share, from the report of the mix."""
-    _, report = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    _, report = mixing.mix(table(spark, d, "documents", busy=True), table(spark, d, "mix_targets"))
     return report.where("short").select("source")
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     """Target and reached share of every source."""
-    _, report = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    _, report = mixing.mix(table(spark, d, "documents", busy=True), table(spark, d, "mix_targets"))
     return report
 
 
 def p7_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Tokens and most passes over any document, by source, counted from the mixed set itself."""
-    mixed, _ = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    mixed, _ = mixing.mix(table(spark, d, "documents", busy=True), table(spark, d, "mix_targets"))
     return mixed.groupBy("out_shard", "source").agg(
         F.sum(F.col("token_to") - F.col("token_from")).alias("tokens"), F.countDistinct("doc_id").alias("n_docs")
     )
@@ -118,12 +118,12 @@ def p7_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """The pairs of documents that share at least 200 characters in a row."""
-    return spans.shared_pairs(table(spark, d, "documents"))
+    return spans.shared_pairs(table(spark, d, "documents", busy=True))
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     """How much of every document stands word for word in others."""
-    return spans.shared_report(table(spark, d, "documents"))
+    return spans.shared_report(table(spark, d, "documents", busy=True))
 
 
 QUERIES = {
