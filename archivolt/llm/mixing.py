@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.llm.tokens import clean_source, token_count
-from archivolt.runtime import groups_for, salt
+from archivolt.runtime import cut, groups_for, salt
 
 ROWS_PER_BUCKET = 20_000
 #: rows of the targets table; a table of sources is small by nature and read into the driver
@@ -185,7 +185,7 @@ def mix(
     if block < 1 or slots_per_shard < 1:
         raise ValueError("block and slots_per_shard must be positive")
     spark, wanted = documents.sparkSession, _normal_targets(targets)
-    parts = source_blocks(documents, wanted, block, seed)
+    parts = cut(source_blocks(documents, wanted, block, seed))  # read for the totals, the set and the report
     tokens = parts.groupBy("source").agg(F.sum(F.col("token_to") - F.col("token_from")).alias("tokens"))
     rows = wanted.join(tokens, "source", "left").select(
         "source", "name", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens")
