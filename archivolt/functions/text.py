@@ -65,10 +65,11 @@ def redaction_matches(text: Column) -> Column:
 
 
 def rule_of(match: Column) -> Column:
-    """The name of the rule that made a match: the first that fits it as a whole."""
+    """The name of the rule that made a match: the first that fits it as a whole (the word boundary before it lies outside)."""
     out = F.lit(None).cast("string")
     for name, pattern, _ in reversed(REDACTION_RULES):
-        out = F.when(match.rlike(f"(?U)^(?:{pattern})$"), F.lit(name)).otherwise(out)
+        own = pattern.removeprefix(r"\b")
+        out = F.when(match.rlike(f"(?U)^(?:{own})$"), F.lit(name)).otherwise(out)
     return out
 
 

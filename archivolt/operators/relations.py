@@ -100,12 +100,16 @@ def resolve_in_order(wanted: DataFrame, key: str, choices: str, offered: DataFra
 
 
 def weighted_score(levels: dict[str, Sequence[str]], weights: dict[str, int]) -> Column:
-    """0 to 100 from ordered enums: sum of (index / last index) * weight over the sum of weights, rounded half to even."""
+    """0 to 100 from ordered enums: sum of (index / last index) * weight over the sum of weights, rounded half to even.
+
+    Null if any value is null or not in its enum.
+    """
     total = F.lit(0.0)
     for name, order in levels.items():
-        index = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(name)) - 1
+        index = F.nullif(F.array_position(F.array(*[F.lit(x) for x in order]), F.col(name)), F.lit(0)) - 1
         total = total + (index.cast("double") / (len(order) - 1)) * weights[name]
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.bround(total * 100 / sum(weights.values())))).cast("int")
+    score = F.bround(total * 100 / sum(weights.values())).cast("int")
+    return F.when(score < 0, 0).when(score > 100, 100).otherwise(score)
 
 
 def band(score: Column, bands: Sequence[tuple[int, str]]) -> Column:
