@@ -249,14 +249,26 @@ def fit_samples(samples: DataFrame) -> Model:
     return fit([(r.lang, r.text) for r in rows.orderBy(F.xxhash64("text"), "text").limit(MAX_SAMPLES).collect()])
 
 
+#: characters without a blank that no word has
+LONG_RUN = 40
+
+
 def _machine(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Units that are key-value lines or hold an unbroken run of 60 or more characters that are no Han."""
+    """Units that are key-value lines, or consist for the greater part of unbroken runs of ``LONG_RUN`` or more characters
+    that are not Han."""
     def per(mask: np.ndarray) -> np.ndarray:
         sums = np.concatenate(([0], np.cumsum(mask)))
         return sums[ends] - sums[starts]
 
     colons, semis, under = per(cp == 58), per(cp == 59), per(cp == 95)
-    return ((colons >= 2) & (semis >= 1)) | ((under >= 1) & (colons >= 1))
+    wide = cp >= 0x2E80
+    stop = (cp <= 32) | (cp == 0xA0) | wide
+    edges = np.unique(np.concatenate((np.flatnonzero(stop), starts, [len(cp)])))
+    runs = np.diff(edges)
+    long_chars = np.zeros(len(starts), dtype=np.int64)
+    big = np.flatnonzero(runs >= LONG_RUN)
+    np.add.at(long_chars, np.searchsorted(starts, edges[big], side="right") - 1, runs[big])
+    return ((colons >= 2) & (semis >= 1)) | ((under >= 1) & (colons >= 1)) | (2 * long_chars > ends - starts)
 
 
 STRETCH = "item_kind string, item_id string, char_start int, char_end int, lang string, confidence double, letters int, whole boolean"

@@ -121,6 +121,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_pairs(table(spark, d, "documents", busy=True))
 
 
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The shared stretches themselves, between one document of every text."""
+    return spans.shared_stretches(table(spark, d, "documents", busy=True))
+
+
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     """How much of every document stands word for word in others."""
     return spans.shared_report(table(spark, d, "documents", busy=True))
@@ -141,6 +146,7 @@ QUERIES = {
     "p7_report": p7_report,
     "p7_sizes": p7_sizes,
     "p8_found": p8_found,
+    "p8_spans": p8_spans,
     "p8_report": p8_report,
 }
 

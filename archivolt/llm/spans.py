@@ -177,8 +177,8 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def _texts(documents: DataFrame, least: int) -> DataFrame:
-    """(key, text) of the texts that are long enough; the key is the class of equal texts."""
-    return documents.where(F.length("text") >= least).select(F.unhex(F.md5("text")).alias("key"), "text")
+    """(key, text) of the texts that are long enough; the key is the class of equal texts. Texts without an id are left out."""
+    return documents.where((F.length("text") >= least) & F.col("doc_id").isNotNull()).select(F.unhex(F.md5("text")).alias("key"), "text")
 
 
 def _batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
@@ -226,8 +226,11 @@ def _probe(texts: DataFrame, block: int, known: HashFilter, multi: HashFilter) -
 ANCHOR = "hash bigint, key binary, pos int, is_block boolean, before int, around string"
 
 
-def _anchors(texts: DataFrame, block: int, least: int, shared: HashFilter) -> DataFrame:
-    """Blocks and windows of the shared hashes, with the text around them that decides about the least length."""
+def _anchors(texts: DataFrame, block: int, least: int, shared: HashFilter, every: bool) -> DataFrame:
+    """Blocks and windows of the shared hashes, with the text around them that decides about the least length.
+
+    In periodic stretches only the blocks near the ends are kept, and with ``every`` all windows, else those near the ends.
+    """
     sc = texts.sparkSession.sparkContext
     lookup = sc.broadcast(shared)
     side = least - block
@@ -247,8 +250,10 @@ def _anchors(texts: DataFrame, block: int, least: int, shared: HashFilter) -> Da
                     continue
                 number = np.searchsorted(off, at, side="right") - 1
                 pos = at - off[number]
-                keep = thin_periodic(number, pos, h[at], block)
-                number, pos, at = number[keep], pos[keep], at[keep]
+                kept = np.zeros(len(at), dtype=bool)
+                kept[thin_periodic(number, pos, h[at], block)] = True
+                if not every:
+                    number, pos, at, kept = number[kept], pos[kept], at[kept], kept[kept]
                 start = np.maximum(pos - side, 0)
                 around = [bodies[first + d][s : p + block + side] for d, s, p in zip(number.tolist(), start.tolist(), pos.tolist(), strict=True)]
                 yield _batch(
@@ -256,7 +261,7 @@ def _anchors(texts: DataFrame, block: int, least: int, shared: HashFilter) -> Da
                         "hash": h[at].view(np.int64),
                         "key": [keys[first + d] for d in number.tolist()],
                         "pos": pos.astype(np.int32),
-                        "is_block": pos % block == 0,
+                        "is_block": kept & (pos % block == 0),
                         "before": (pos - start).astype(np.int32),
                         "around": around,
                     },
@@ -266,10 +271,10 @@ def _anchors(texts: DataFrame, block: int, least: int, shared: HashFilter) -> Da
     return texts.mapInArrow(scan, ANCHOR)
 
 
-def _content_anchors(texts: DataFrame, block: int, least: int) -> DataFrame:
+def _content_anchors(texts: DataFrame, block: int, least: int, every: bool) -> DataFrame:
     """The anchors beyond the filter's bound: windows that are the least of ``least - block + 1`` in a row, both ways."""
     row = least - block + 1
-    schema = pa.schema([("hash", pa.int64()), ("key", pa.binary()), ("pos", pa.int32())])
+    schema = pa.schema([("hash", pa.int64()), ("key", pa.binary()), ("pos", pa.int32()), ("is_block", pa.bool_())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -284,11 +289,13 @@ def _content_anchors(texts: DataFrame, block: int, least: int) -> DataFrame:
                     pad = np.concatenate((np.zeros(row - 1, dtype=np.uint64), low, np.zeros(row - 1, dtype=np.uint64)))
                     reach |= own == _sliding_max(pad, row)[: len(own)]
                     pos = np.flatnonzero(reach)
-                    keep = np.sort(thin_periodic(np.zeros(len(pos), dtype=np.int64), pos, own[pos], block))
-                    pos = pos[keep]
-                    yield _batch({"hash": own[pos].view(np.int64), "key": [keys[first + d]] * len(pos), "pos": pos.astype(np.int32)}, schema)
+                    kept = np.zeros(len(pos), dtype=bool)
+                    kept[thin_periodic(np.zeros(len(pos), dtype=np.int64), pos, own[pos], block)] = True
+                    if not every:
+                        pos, kept = pos[kept], kept[kept]
+                    yield _batch({"hash": own[pos].view(np.int64), "key": [keys[first + d]] * len(pos), "pos": pos.astype(np.int32), "is_block": kept}, schema)
 
-    found = texts.mapInArrow(scan, "hash bigint, key binary, pos int").distinct()
+    found = texts.mapInArrow(scan, "hash bigint, key binary, pos int, is_block boolean").distinct()
     shared = found.groupBy("hash").agg((F.min("key") != F.max("key")).alias("multi")).where("multi").select("hash")
     side = least - block
     one_text = texts.groupBy("key").agg(F.first("text").alias("text"))
@@ -299,7 +306,7 @@ def _content_anchors(texts: DataFrame, block: int, least: int) -> DataFrame:
             "hash",
             "key",
             "pos",
-            F.lit(True).alias("is_block"),
+            "is_block",
             F.least("pos", F.lit(side)).alias("before"),
             F.expr(f"substring(text, greatest(pos - {side}, 0) + 1, least(pos, {side}) + {block + side})").alias("around"),
         )
@@ -330,10 +337,11 @@ def common(a: str, b: str, i: int, j: int, block: int, side: int) -> tuple[int,
     return left, right
 
 
-def class_hits(documents: DataFrame, least: int = 200, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+def class_hits(documents: DataFrame, least: int = 200, max_filter_bytes: int = MAX_FILTER_BYTES, every: bool = False) -> DataFrame:
     """(key_a, key_b, pos_a, pos_b, left, right): equal blocks of two different texts that extend to ``least`` or more.
 
-    left and right are the equal characters on either side of the block, up to ``least - block``.
+    left and right are the equal characters on either side of the block, up to ``least - block``. Either key_a < key_b
+    and one hit at least for every pair and stretch, or with ``every`` both ways round and all hits in text b.
     """
     if least < 2:
         raise ValueError("least must be at least 2")
@@ -346,9 +354,9 @@ def class_hits(documents: DataFrame, least: int = 200, max_filter_bytes: int = M
         marked = index.where("multi").select("hash")
         probes = _probe(texts, block, build_filter(index.select("hash"), n), build_filter(marked, marked.count()))
         shared = cut(probes.distinct().join(index, "hash", "left_semi"))
-        anchors = _anchors(texts, block, least, build_filter(shared, shared.count()))
+        anchors = _anchors(texts, block, least, build_filter(shared, shared.count()), every)
     else:
-        anchors = _content_anchors(texts, block, least)
+        anchors = _content_anchors(texts, block, least, every)
     once = anchors.groupBy("hash", "key", "pos", "is_block").agg(F.first(F.struct("before", "around")).alias("v"))
     a = once.where("is_block").select("hash", F.col("key").alias("key_a"), F.col("pos").alias("pos_a"), F.col("v").alias("va"))
     b = once.select("hash", F.col("key").alias("key_b"), F.col("pos").alias("pos_b"), F.col("v").alias("vb"))
@@ -358,7 +366,7 @@ def class_hits(documents: DataFrame, least: int = 200, max_filter_bytes: int = M
         found = [common(p, q, m, n, block, side) for m, p, n, q in zip(i, x, j, y, strict=True)]
         return pd.DataFrame(found, columns=["left", "right"]).astype("int32")
 
-    met = a.join(b, "hash").where("key_a < key_b")
+    met = a.join(b, "hash").where("key_a <> key_b" if every else "key_a < key_b")
     grown = met.select("key_a", "key_b", "pos_a", "pos_b", extend("va.before", "va.around", "vb.before", "vb.around").alias("e"))
     return grown.select("key_a", "key_b", "pos_a", "pos_b", "e.left", "e.right").where(
         (F.col("left") >= 0) & (F.col("left") + F.col("right") + block >= least)
@@ -420,15 +428,15 @@ def shared_report(documents: DataFrame, least: int = 200, max_filter_bytes: int
     One row per document that shares a span; class_id is the least doc_id with the same text. Spans of one document
     that overlap or touch are merged first. A text that has an exact copy is shared as a whole.
     """
-    repeats = maximal_repeats(class_hits(documents, least, max_filter_bytes), least)
+    block = least // 2
+    hits = class_hits(documents, least, max_filter_bytes, every=True)
     copies = members(documents, least).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     whole = (
         documents.where(F.length("text") >= least).select(F.unhex(F.md5("text")).alias("key"), F.length("text").alias("stop"))
         .join(copies.where("n > 1"), "key").select("key", F.lit(0).alias("start"), "stop").distinct()
     )
     stretches = (
-        repeats.select(F.col("key_a").alias("key"), F.col("start_a").alias("start"), (F.col("start_a") + F.col("length")).alias("stop"))
-        .unionByName(repeats.select(F.col("key_b").alias("key"), F.col("start_b").alias("start"), (F.col("start_b") + F.col("length")).alias("stop")))
+        hits.select(F.col("key_b").alias("key"), (F.col("pos_b") - F.col("left")).alias("start"), (F.col("pos_b") + block + F.col("right")).alias("stop"))
         .unionByName(whole)
         .distinct()
     )
@@ -446,3 +454,22 @@ def shared_report(documents: DataFrame, least: int = 200, max_filter_bytes: int
     return docs.join(per, "key").join(classes, "key").select(
         "doc_id", "class_id", "n_chars", "n_spans", "shared_chars", (F.col("shared_chars") / F.col("n_chars")).alias("shared_fraction")
     )
+
+
+def shared_stretches(documents: DataFrame, least: int = 200, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+    """(doc_id_a, doc_id_b, start_a, start_b, length): the maximal repeats of two different texts.
+
+    Either document stands for all with its text: it is the one with the least doc_id.
+    """
+    classes = members(documents, least).groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    a = classes.select(F.col("key").alias("key_a"), F.col("doc_id").alias("x"))
+    b = classes.select(F.col("key").alias("key_b"), F.col("doc_id").alias("y"))
+    met = maximal_repeats(class_hits(documents, least, max_filter_bytes), least).join(a, "key_a").join(b, "key_b")
+    turned = F.col("x") > F.col("y")
+    return met.select(
+        F.least("x", "y").alias("doc_id_a"),
+        F.greatest("x", "y").alias("doc_id_b"),
+        F.when(turned, F.col("start_b")).otherwise(F.col("start_a")).alias("start_a"),
+        F.when(turned, F.col("start_a")).otherwise(F.col("start_b")).alias("start_b"),
+        "length",
+    )
