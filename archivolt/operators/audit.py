@@ -54,9 +54,15 @@ def _canonical(prev_hash: Column) -> Column:
 
 
 def verify_hashes(events: DataFrame) -> DataFrame:
-    """(event_id, record_id, intact): whether the hash is that of the event as it stands, spelling of the digest aside."""
-    digest = F.sha2(_canonical(F.col("prev_hash")), 256)
-    return events.select("event_id", "record_id", F.coalesce(digest == hex_digits(F.col("hash")), F.lit(False)).alias("intact"))
+    """(event_id, record_id, intact): whether the hash is that of the event as it stands, spelling of the digests aside.
+
+    The event is put into canonical form with prev_hash as ``sha256:`` and lower-case digits, or null if it has none, as
+    it is when emitted, and with prev_hash as it is stored; either may give the hash.
+    """
+    own = hex_digits(F.col("hash"))
+    usual = F.sha2(_canonical(F.concat(F.lit("sha256:"), hex_digits(F.col("prev_hash")))), 256)
+    stored = F.sha2(_canonical(F.col("prev_hash")), 256)
+    return events.select("event_id", "record_id", F.coalesce((usual == own) | (stored == own), F.lit(False)).alias("intact"))
 
 
 def first_deliveries(events: DataFrame) -> DataFrame:

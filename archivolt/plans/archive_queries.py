@@ -314,7 +314,24 @@ hexed AS (
 """
 
 
-@query()
+def _dump_sql(prev: str) -> str:
+    """The canonical JSON of an event in DuckDB."""
+    meta = "CASE WHEN cardinality(metadata) > 0 THEN '\"metadata\":' || to_json(map_from_entries(list_sort(map_entries(metadata))))::VARCHAR || ',' ELSE '' END"
+    part = lambda name, x: f"'\"{name}\":' || coalesce(to_json({x})::VARCHAR, 'null') || ','"
+    return (
+        "'{' || "
+        + " || ".join(part(n, n) for n in ("actor_id", "actor_role", "event_id", "event_type", "evidence_ref"))
+        + f" || coalesce({meta}, '') || {part('prev_hash', prev)} || CASE WHEN reason IS NULL THEN '' ELSE {part('reason', 'reason')} END"
+        + f" || {part('record_id', 'record_id')} || '\"timestamp\":' || coalesce(to_json(event_time)::VARCHAR, 'null') || '}}'"
+    )
+
+
+@query(
+    f"""
+WITH {_FIRST_EVENTS}
+SELECT event_id, record_id, coalesce(sha256({_dump_sql("'sha256:' || prev")}) = own OR sha256({_dump_sql("prev_hash")}) = own, false) AS intact FROM hexed
+"""
+)
 def audit_intact(spark: SparkSession, d: str) -> DataFrame:
     """Whether every event's hash is that of the event as it stands."""
     return audit.verify_hashes(audit.first_deliveries(table(spark, d, "audit_events")))
@@ -625,8 +642,8 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     return watch.drain(counts, "complete").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
-@query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND user_id IS NOT NULL)")
+@query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 100 AND user_id IS NOT NULL)")
 def stream_not_revoked(spark: SparkSession, d: str) -> DataFrame:
-    """Events of users without an error, as a stream against a static table."""
-    revoked = table(spark, d, "events").where("event_type = 'error'").select("user_id")
+    """Events of users without a large error, as a stream against a static table."""
+    revoked = table(spark, d, "events").where("event_type = 'error' and value > 100").select("user_id")
     return watch.drain(watch.not_revoked(_event_stream(spark, d), revoked, "user_id").select("event_id", "user_id"), "append")
