@@ -106,6 +106,8 @@ ADDRESS_CUE = re.compile(r"(?:lives? at|moved to|moved out of|went to|tenant of|
 #: no Latin letter or digit in front; Chinese runs straight into numbers
 _FREE = r"(?<![0-9a-zà-ɏ@_])"
 _NUMBER = re.compile(_FREE + r"[+(]{0,2}\d(?:[ .\-/()]{0,3}\d)+(?![\d])")
+#: two digits, which every form of an identity number holds, also one with letters in front
+_PAIR = re.compile(r"\d\d")
 _DATE = re.compile(r"(?:(?:19|20)\d\d[-./](?:0?[1-9]|1[0-2])[-./](?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-./](?:0?[1-9]|1[0-2])[-./](?:19|20)\d\d)$")
 #: shelf marks and the like: two numbers with a stroke between
 _MARK = re.compile(r"[(]?[1-9]\d{1,5}/\d{1,3}[)]?$")
@@ -134,16 +136,19 @@ ID_FORMS += (_FREE + r"[a-z]{6}\d{2}[a-z]\d{2}[a-z]\d{3}[a-z](?![0-9a-zà-ɏ])",
 _ID = re.compile("|".join(f"(?:{p})" for p in ID_FORMS))
 #: letters and digits mixed, as in passports and cards; only with a cue
 _LETTERED_ID = re.compile(_FREE + r"(?<![/.\-])(?:[a-z]{1,2}\d{6,9}[a-z]?|[a-z][a-z0-9]{7,9})(?![0-9a-zà-ɏ/\-])")
-_SPOKEN = (
-    re.compile(r"\b(?:(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double|triple)(?:[ ,\-]+|\b)){7,}"),
-    re.compile(r"\b(?:(?:zéro|un|deux|trois|quatre|cinq|six|sept|huit|neuf)(?:[ ,\-]+|\b)){7,}"),
-    re.compile(r"\b(?:(?:null|eins|zwei|zwo|drei|vier|fünf|sechs|sieben|acht|neun)(?:[ ,\-]+|\b)){7,}"),
-    re.compile(r"\b(?:(?:cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve)(?:[ ,\-]+|\b)){7,}"),
-    re.compile(r"\b(?:(?:zero|um|dois|três|quatro|cinco|seis|sete|oito|nove)(?:[ ,\-]+|\b)){7,}"),
-    re.compile(r"\b(?:(?:zero|uno|due|tre|quattro|cinque|sei|sette|otto|nove)(?:[ ,\-]+|\b)){7,}"),
-    re.compile(r"\b(?:(?:nul|een|één|twee|drie|vier|vijf|zes|zeven|acht|negen)(?:[ ,\-]+|\b)){7,}"),
-    re.compile(r"[零一二三四五六七八九幺〇]{7,}"),
+DIGIT_WORDS = (
+    "zero|oh|one|two|three|four|five|six|seven|eight|nine|double|triple",
+    "zéro|un|deux|trois|quatre|cinq|six|sept|huit|neuf",
+    "null|eins|zwei|zwo|drei|vier|fünf|sechs|sieben|acht|neun",
+    "cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve",
+    "zero|um|dois|três|quatro|cinco|seis|sete|oito|nove",
+    "zero|uno|due|tre|quattro|cinque|sei|sette|otto|nove",
+    "nul|een|één|twee|drie|vier|vijf|zes|zeven|acht|negen",
 )
+DIGITS_ZH = "零一二三四五六七八九幺〇"
+#: digit words in a row that make a number
+SPOKEN_LEAST = 7
+_SPOKEN = (*[re.compile(rf"\b(?:(?:{w})(?:[ ,\-]+|\b)){{{SPOKEN_LEAST},}}") for w in DIGIT_WORDS], re.compile(rf"[{DIGITS_ZH}]{{{SPOKEN_LEAST},}}"))
 
 _TITLE = r"(?:(?:dr|prof|mr|mrs|ms|mme|mlle|herr|frau|hr|fr|sr|sra|sig|dra|dott|ing)\.?\s+)*"
 _CAP = r"[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]+(?:[-'’][A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]+)*"
@@ -191,11 +196,12 @@ class Finder:
 
     def __init__(self, given: list[str], family: list[str], given_zh: list[str]):
         a = ahocorasick.Automaton()
+        spoken = dict.fromkeys([*"|".join(DIGIT_WORDS).split("|"), *DIGITS_ZH])
         for kind, words in (
-            ("at", AT), ("phone", PHONE_CUES), ("id", ID_CUES), ("street", STREET_ANCHORS), ("name", [*family]), ("zh", given_zh), ("cue", NAME_CUES),
+            ("at", AT), ("phone", PHONE_CUES), ("id", ID_CUES), ("street", STREET_ANCHORS), ("name", [*family]), ("zh", given_zh), ("cue", NAME_CUES), ("digit", spoken),
         ):
             for w in words:
-                a.add_word(w, (kind, len(w)))
+                a.add_word(w, (*a.get(w, ()), (kind, len(w))))
         a.make_automaton()
         self.automaton = a
         g = "|".join(sorted(map(re.escape, given), key=len, reverse=True))
@@ -210,15 +216,16 @@ class Finder:
         view, places = fold(text)
         low = lower(view)
         anchors: dict[str, list[tuple[int, int]]] = {}
-        for last, (kind, size) in self.automaton.iter(low):
-            anchors.setdefault(kind, []).append((last - size + 1, last + 1))
+        for last, kinds in self.automaton.iter(low):
+            for kind, size in kinds:
+                anchors.setdefault(kind, []).append((last - size + 1, last + 1))
         taken: list[Span] = []
         if "at" in anchors:
             taken = emails(low, anchors["at"])
-        digits = _NUMBER.search(low) is not None
-        if digits or "phone" in anchors or "id" in anchors:
+        spoken = len(anchors.get("digit", ())) >= SPOKEN_LEAST
+        if spoken or _PAIR.search(low) or _NUMBER.search(low):
             streets = addresses(low) if "street" in anchors else []
-            taken = settle(taken, numbers(low, anchors.get("phone", []), anchors.get("id", []), streets))
+            taken = settle(taken, numbers(low, anchors.get("phone", []), anchors.get("id", []), streets, spoken))
             taken = settle(taken, streets)
         elif "street" in anchors:
             taken = settle(taken, addresses(low))
@@ -295,7 +302,7 @@ def _cue_before(low: str, start: int, cues: list[tuple[int, int]]) -> int:
     return best
 
 
-def numbers(low: str, phone_cues: list[tuple[int, int]], id_cues: list[tuple[int, int]], streets: list[Span]) -> list[Span]:
+def numbers(low: str, phone_cues: list[tuple[int, int]], id_cues: list[tuple[int, int]], streets: list[Span], spoken: bool = True) -> list[Span]:
     """Telephone and identity numbers: by form, or by length with a cue before them; spoken digits by their number."""
     out: list[Span] = []
     for m in _ID.finditer(low):
@@ -341,7 +348,7 @@ def numbers(low: str, phone_cues: list[tuple[int, int]], id_cues: list[tuple[int
             if not nxt:
                 break
             at = nxt.start() + 1
-    for pattern in _SPOKEN:
+    for pattern in _SPOKEN if spoken else ():
         for m in pattern.finditer(low):
             body = m.group().rstrip(" ,-")
             if any(s.start < m.end() and m.start() < s.end for s in out):

@@ -71,6 +71,29 @@ def test_pii(text, want):
     assert [(s.kind, text[s.start : s.end].strip()) for s in found] == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("then she said five five five oh one oh five and hung up", [("phone", "five five five oh one oh five")]),
+        ("she said five five five oh one oh five, in box 1", [("phone", "five five five oh one oh five")]),
+        ("dann sagte sie null drei null vier vier sechs eins und ging", [("phone", "null drei null vier vier sechs eins")]),
+        ("她说一三九零零零四九三五四。", [("phone", "一三九零零零四九三五四")]),
+        ("they found QQ123456C in the drawer", [("id_number", "QQ123456C")]),
+        ("they found RSSMRA85T10A562S in the drawer", [("id_number", "RSSMRA85T10A562S")]),
+        ("one or two came, then three or four, and five of the six left at seven", []),
+        ("shelf mark d17433", []),
+    ],
+)
+def test_pii_without_cue(text, want):
+    found = pii.default_finder().find(text)
+    assert [(s.kind, text[s.start : s.end]) for s in found] == want
+
+
+def test_pii_gazetteer_name_that_is_a_digit_word():
+    finder = pii.Finder(["anna"], ["acht"], [])
+    assert [s.kind for s in finder.find("Anna Acht said five five five oh one oh five")] == ["name", "phone"]
+
+
 def test_pii_table(spark):
     rows = [("atom", "a", "x@y.example " * 500, 1), ("atom", "a", None, 2), ("atom", None, "", 3), ("segment", "s", "Tel. 020 7946 0446", 4), ("segment", "s", "Tel. 020 7946 0446", 4)]
     df = spark.createDataFrame(rows, "item_kind string, item_id string, text string, span_start int")
