@@ -150,16 +150,18 @@ def build_filter(hashes: DataFrame, n: int) -> HashFilter:
     return HashFilter(log, words)
 
 
-def thin_periodic(doc: np.ndarray, pos: np.ndarray, h: np.ndarray, block: int) -> np.ndarray:
+def thin_periodic(doc: np.ndarray, pos: np.ndarray, h: np.ndarray, block: int, period: int | None = None) -> np.ndarray:
     """Indexes to keep of the hits of a run, given by text and position.
 
     Where one hash recurs in overlapping windows the text is periodic. A shared span either reaches the end of the
-    periodic stretch or fits at its start, so the windows within one block of either end are enough.
+    periodic stretch or fits at its start, so the windows within one block of either end are enough. With ``period``
+    only stretches of at most that period are thinned.
     """
+    apart = block if period is None else period + 1
     order = np.lexsort((pos, h, doc))
     d, p, x = doc[order], pos[order], h[order]
     new = np.ones(len(p), dtype=bool)
-    new[1:] = (d[1:] != d[:-1]) | (x[1:] != x[:-1]) | (p[1:] - p[:-1] >= block)
+    new[1:] = (d[1:] != d[:-1]) | (x[1:] != x[:-1]) | (p[1:] - p[:-1] >= apart)
     group = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(p)) - 1
@@ -223,19 +225,20 @@ def _probe(texts: DataFrame, block: int, known: HashFilter, multi: HashFilter) -
     return texts.mapInArrow(scan, "hash bigint")
 
 
-ANCHOR = "hash bigint, key binary, pos int, is_block boolean, before int, around string"
+ANCHOR = "hash bigint, key binary, pos int, is_block boolean, is_end boolean, before int, around string"
 
 
-def _anchors(texts: DataFrame, block: int, least: int, shared: HashFilter, every: bool) -> DataFrame:
+def _anchors(texts: DataFrame, block: int, least: int, shared: HashFilter, every: bool, repeats: bool) -> DataFrame:
     """Blocks and windows of the shared hashes, with the text around them that decides about the least length.
 
     In periodic stretches only the blocks near the ends are kept, and with ``every`` all windows, else those near the ends.
+    With ``repeats`` all blocks and windows are kept; is_end tells those near the ends, or outside of such stretches.
     """
     sc = texts.sparkSession.sparkContext
     lookup = sc.broadcast(shared)
     side = least - block
     schema = pa.schema(
-        [("hash", pa.int64()), ("key", pa.binary()), ("pos", pa.int32()), ("is_block", pa.bool_()), ("before", pa.int32()), ("around", pa.string())]
+        [("hash", pa.int64()), ("key", pa.binary()), ("pos", pa.int32()), ("is_block", pa.bool_()), ("is_end", pa.bool_()), ("before", pa.int32()), ("around", pa.string())]
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,8 +254,8 @@ def _anchors(texts: DataFrame, block: int, least: int, shared: HashFilter, every
                 number = np.searchsorted(off, at, side="right") - 1
                 pos = at - off[number]
                 kept = np.zeros(len(at), dtype=bool)
-                kept[thin_periodic(number, pos, h[at], block)] = True
-                if not every:
+                kept[thin_periodic(number, pos, h[at], block, block // 2 if repeats else None)] = True
+                if not (every or repeats):
                     number, pos, at, kept = number[kept], pos[kept], at[kept], kept[kept]
                 start = np.maximum(pos - side, 0)
                 around = [bodies[first + d][s : p + block + side] for d, s, p in zip(number.tolist(), start.tolist(), pos.tolist(), strict=True)]
@@ -261,7 +264,8 @@ def _anchors(texts: DataFrame, block: int, least: int, shared: HashFilter, every
                         "hash": h[at].view(np.int64),
                         "key": [keys[first + d] for d in number.tolist()],
                         "pos": pos.astype(np.int32),
-                        "is_block": kept & (pos % block == 0),
+                        "is_block": (kept | repeats) & (pos % block == 0),
+                        "is_end": kept,
                         "before": (pos - start).astype(np.int32),
                         "around": around,
                     },
@@ -271,10 +275,10 @@ def _anchors(texts: DataFrame, block: int, least: int, shared: HashFilter, every
     return texts.mapInArrow(scan, ANCHOR)
 
 
-def _content_anchors(texts: DataFrame, block: int, least: int, every: bool) -> DataFrame:
+def _content_anchors(texts: DataFrame, block: int, least: int, every: bool, repeats: bool) -> DataFrame:
     """The anchors beyond the filter's bound: windows that are the least of ``least - block + 1`` in a row, both ways."""
     row = least - block + 1
-    schema = pa.schema([("hash", pa.int64()), ("key", pa.binary()), ("pos", pa.int32()), ("is_block", pa.bool_())])
+    schema = pa.schema([("hash", pa.int64()), ("key", pa.binary()), ("pos", pa.int32()), ("is_block", pa.bool_()), ("is_end", pa.bool_())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -290,12 +294,15 @@ def _content_anchors(texts: DataFrame, block: int, least: int, every: bool) -> D
                     reach |= own == _sliding_max(pad, row)[: len(own)]
                     pos = np.flatnonzero(reach)
                     kept = np.zeros(len(pos), dtype=bool)
-                    kept[thin_periodic(np.zeros(len(pos), dtype=np.int64), pos, own[pos], block)] = True
-                    if not every:
+                    kept[thin_periodic(np.zeros(len(pos), dtype=np.int64), pos, own[pos], block, block // 2 if repeats else None)] = True
+                    if not (every or repeats):
                         pos, kept = pos[kept], kept[kept]
-                    yield _batch({"hash": own[pos].view(np.int64), "key": [keys[first + d]] * len(pos), "pos": pos.astype(np.int32), "is_block": kept}, schema)
+                    yield _batch(
+                        {"hash": own[pos].view(np.int64), "key": [keys[first + d]] * len(pos), "pos": pos.astype(np.int32), "is_block": kept | repeats, "is_end": kept},
+                        schema,
+                    )
 
-    found = texts.mapInArrow(scan, "hash bigint, key binary, pos int, is_block boolean").distinct()
+    found = texts.mapInArrow(scan, "hash bigint, key binary, pos int, is_block boolean, is_end boolean").distinct()
     shared = found.groupBy("hash").agg((F.min("key") != F.max("key")).alias("multi")).where("multi").select("hash")
     side = least - block
     one_text = texts.groupBy("key").agg(F.first("text").alias("text"))
@@ -307,6 +314,7 @@ def _content_anchors(texts: DataFrame, block: int, least: int, every: bool) -> D
             "key",
             "pos",
             "is_block",
+            "is_end",
             F.least("pos", F.lit(side)).alias("before"),
             F.expr(f"substring(text, greatest(pos - {side}, 0) + 1, least(pos, {side}) + {block + side})").alias("around"),
         )
@@ -337,11 +345,16 @@ def common(a: str, b: str, i: int, j: int, block: int, side: int) -> tuple[int,
     return left, right
 
 
-def class_hits(documents: DataFrame, least: int = 200, max_filter_bytes: int = MAX_FILTER_BYTES, every: bool = False) -> DataFrame:
+def class_hits(
+    documents: DataFrame, least: int = 200, max_filter_bytes: int = MAX_FILTER_BYTES, every: bool = False, repeats: bool = False
+) -> DataFrame:
     """(key_a, key_b, pos_a, pos_b, left, right): equal blocks of two different texts that extend to ``least`` or more.
 
     left and right are the equal characters on either side of the block, up to ``least - block``. Either key_a < key_b
-    and one hit at least for every pair and stretch, or with ``every`` both ways round and all hits in text b.
+    and one hit at least for every pair and stretch, or with ``every`` both ways round and all hits in text b. With
+    ``repeats`` key_a < key_b and one hit at least for every maximal repeat: where a block and a window both lie inside
+    of periodic stretches, the hit one period or block before them is of the same repeat, so one of the two is always
+    near an end.
     """
     if least < 2:
         raise ValueError("least must be at least 2")
@@ -354,19 +367,23 @@ def class_hits(documents: DataFrame, least: int = 200, max_filter_bytes: int = M
         marked = index.where("multi").select("hash")
         probes = _probe(texts, block, build_filter(index.select("hash"), n), build_filter(marked, marked.count()))
         shared = cut(probes.distinct().join(index, "hash", "left_semi"))
-        anchors = _anchors(texts, block, least, build_filter(shared, shared.count()), every)
+        anchors = _anchors(texts, block, least, build_filter(shared, shared.count()), every, repeats)
     else:
-        anchors = _content_anchors(texts, block, least, every)
-    once = anchors.groupBy("hash", "key", "pos", "is_block").agg(F.first(F.struct("before", "around")).alias("v"))
-    a = once.where("is_block").select("hash", F.col("key").alias("key_a"), F.col("pos").alias("pos_a"), F.col("v").alias("va"))
-    b = once.select("hash", F.col("key").alias("key_b"), F.col("pos").alias("pos_b"), F.col("v").alias("vb"))
+        anchors = _content_anchors(texts, block, least, every, repeats)
+    once = anchors.groupBy("hash", "key", "pos", "is_block", "is_end").agg(F.first(F.struct("before", "around")).alias("v"))
+    a = once.where("is_block").select("hash", F.col("key").alias("key_a"), F.col("pos").alias("pos_a"), F.col("v").alias("va"), F.col("is_end").alias("end_a"))
+    b = once.select("hash", F.col("key").alias("key_b"), F.col("pos").alias("pos_b"), F.col("v").alias("vb"), F.col("is_end").alias("end_b"))
 
     @F.pandas_udf("left int, right int")
     def extend(i: pd.Series, x: pd.Series, j: pd.Series, y: pd.Series) -> pd.DataFrame:
         found = [common(p, q, m, n, block, side) for m, p, n, q in zip(i, x, j, y, strict=True)]
         return pd.DataFrame(found, columns=["left", "right"]).astype("int32")
 
-    met = a.join(b, "hash").where("key_a <> key_b" if every else "key_a < key_b")
+    if repeats:  # two joins, so that pairs of inner places, whose number is the product of two lengths, are never made
+        joined = a.where("end_a").join(b, "hash").unionByName(a.where("not end_a").join(b.where("end_b"), "hash"))
+    else:
+        joined = a.join(b, "hash")
+    met = joined.where("key_a <> key_b" if every else "key_a < key_b")
     grown = met.select("key_a", "key_b", "pos_a", "pos_b", extend("va.before", "va.around", "vb.before", "vb.around").alias("e"))
     return grown.select("key_a", "key_b", "pos_a", "pos_b", "e.left", "e.right").where(
         (F.col("left") >= 0) & (F.col("left") + F.col("right") + block >= least)
@@ -382,9 +399,50 @@ def members(documents: DataFrame, least: int = 200) -> DataFrame:
     )
 
 
-def maximal_repeats(hits: DataFrame, least: int = 200) -> DataFrame:
-    """(key_a, key_b, start_a, start_b, length): hits on one diagonal merged into maximal exact repeats."""
+def _ends(a: np.ndarray, b: np.ndarray, i: int, j: int, n: int) -> tuple[int, int]:
+    """(start, stop) in a of the longest equal text around ``n`` equal characters at ``i`` and ``j``."""
+
+    def equal(x: np.ndarray, y: np.ndarray) -> int:
+        done, step, most = 0, 64, min(len(x), len(y))
+        while done < most:
+            differ = np.flatnonzero(x[done : min(done + step, most)] != y[done : min(done + step, most)])
+            if len(differ):
+                return done + int(differ[0])
+            done, step = min(done + step, most), step * 2
+        return most
+
+    return i - equal(a[:i][::-1], b[:j][::-1]), i + n + equal(a[i + n :], b[j + n :])
+
+
+def _extended(opened: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key_a, key_b, diagonal, start, stop) of equal stretches, grown over the whole texts: each text once a pair."""
+    pairs = opened.groupBy("key_a", "key_b").agg(F.collect_list(F.struct("diagonal", "start", "stop")).alias("at"))
+    keys = pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
+    bodies = texts.join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    both = pairs.join(bodies.select(F.col("key").alias("key_a"), F.col("text").alias("text_a")), "key_a").join(
+        bodies.select(F.col("key").alias("key_b"), F.col("text").alias("text_b")), "key_b"
+    )
+
+    @F.pandas_udf("array<struct<diagonal:int,start:int,stop:int>>")
+    def grow(x: pd.Series, y: pd.Series, at: pd.Series) -> pd.Series:
+        out = []
+        for p, q, stretches in zip(x, y, at, strict=True):
+            a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in (p, q))
+            grown = {(s["diagonal"], *_ends(a, b, s["start"], s["start"] + s["diagonal"], s["stop"] - s["start"])) for s in stretches}
+            out.append([{"diagonal": d, "start": i, "stop": j} for d, i, j in grown])
+        return pd.Series(out)
+
+    return both.select("key_a", "key_b", F.explode(grow("text_a", "text_b", "at")).alias("s")).select("key_a", "key_b", "s.diagonal", "s.start", "s.stop")
+
+
+def maximal_repeats(hits: DataFrame, texts: DataFrame, least: int = 200) -> DataFrame:
+    """(key_a, key_b, start_a, start_b, length): hits on one diagonal merged and grown into maximal exact repeats.
+
+    A hit shows equal text up to ``least - block`` characters off its block. Merged stretches whose outermost hit ends
+    only there are grown further in the texts (key, text).
+    """
     block = least // 2
+    side = least - block
     diagonal = Window.partitionBy("key_a", "key_b", "diagonal").orderBy("start", "stop")
     island = Window.partitionBy("key_a", "key_b", "diagonal")
     spans = hits.select(
@@ -393,14 +451,20 @@ def maximal_repeats(hits: DataFrame, least: int = 200) -> DataFrame:
         (F.col("pos_b") - F.col("pos_a")).alias("diagonal"),
         (F.col("pos_a") - F.col("left")).alias("start"),
         (F.col("pos_a") + block + F.col("right")).alias("stop"),
+        ((F.col("left") == side) & (F.col("pos_a") > F.col("left")) & (F.col("pos_b") > F.col("left"))).alias("open_left"),
+        (F.col("right") == side).alias("open_right"),
     ).distinct()
     reach = F.max("stop").over(diagonal.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))
     numbered = marked.withColumn("run", F.sum("new").over(diagonal.rowsBetween(Window.unboundedPreceding, 0)))
-    return (
+    merged = cut(
         numbered.groupBy("key_a", "key_b", "diagonal", "run")
-        .agg(F.min("start").alias("start_a"), F.max("stop").alias("stop_a"))
-        .select("key_a", "key_b", "start_a", (F.col("start_a") + F.col("diagonal")).alias("start_b"), (F.col("stop_a") - F.col("start_a")).alias("length"))
+        .agg(F.min(F.struct("start", "open_left")).alias("l"), F.max(F.struct("stop", (~F.col("open_right")).alias("closed"))).alias("r"))
+        .select("key_a", "key_b", "diagonal", "l.start", "r.stop", (F.col("l.open_left") | ~F.col("r.closed")).alias("open"))
+    )
+    whole = merged.where("not open").drop("open").unionByName(_extended(merged.where("open").drop("open"), texts)).distinct()
+    return whole.select(
+        "key_a", "key_b", F.col("start").alias("start_a"), (F.col("start") + F.col("diagonal")).alias("start_b"), (F.col("stop") - F.col("start")).alias("length")
     )
 
 
@@ -464,7 +528,8 @@ def shared_stretches(documents: DataFrame, least: int = 200, max_filter_bytes: i
     classes = members(documents, least).groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     a = classes.select(F.col("key").alias("key_a"), F.col("doc_id").alias("x"))
     b = classes.select(F.col("key").alias("key_b"), F.col("doc_id").alias("y"))
-    met = maximal_repeats(class_hits(documents, least, max_filter_bytes), least).join(a, "key_a").join(b, "key_b")
+    hits = class_hits(documents, least, max_filter_bytes, repeats=True)
+    met = maximal_repeats(hits, _texts(documents, least), least).join(a, "key_a").join(b, "key_b")
     turned = F.col("x") > F.col("y")
     return met.select(
         F.least("x", "y").alias("doc_id_a"),

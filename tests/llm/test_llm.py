@@ -389,3 +389,41 @@ def test_shared_spans_against_brute_force(spark, filter_bytes):
     assert {i: c for i, c in covered.items() if c} == report
     if filter_bytes:
         assert spans.shared_pairs(df.where("false"), least).count() == 0
+
+
+@pytest.mark.parametrize("filter_bytes", [spans.MAX_FILTER_BYTES, 0])
+@pytest.mark.parametrize("least", [40, 61])
+def test_stretches_in_periodic_text_against_brute_force(spark, filter_bytes, least):
+    rng = random.Random(least)
+    noise = lambda n: "".join(rng.choice("abcdefgh ijk 中é😀") for _ in range(n))
+    shared, unit, long_unit = [noise(20) for _ in range(4)], noise(7), noise(25)
+    texts = [
+        shared[0] + "x" * 400 + shared[1],
+        noise(9) + shared[0] + "x" * 400 + shared[1] + noise(5),
+        noise(11) + "x" * 150 + noise(30),
+        noise(13) + unit * 40 + noise(4),
+        noise(30) + unit * 25 + noise(8) + "x" * 90,
+        shared[2] + long_unit * 12 + shared[3],
+        noise(17) + long_unit * 9 + shared[3],
+        noise(3) + "|".join(noise(2) + "-" * 50 for _ in range(3)),
+        "-" * 130,
+        "é" * 90 + noise(2) + "x" * 90,
+    ]
+    texts.append(texts[0])
+
+    def repeats(a, b):
+        for d in range(-len(a), len(b)):
+            i, stop = max(0, -d), min(len(a), len(b) - d)
+            while i < stop:
+                j = i
+                while j < stop and a[j] == b[j + d]:
+                    j += 1
+                if j - i >= least:
+                    yield i, i + d, j - i
+                i = max(j, i + 1)
+
+    first = {t: i for i, t in reversed(list(enumerate(texts)))}
+    want = {(p, q, *r) for a, p in first.items() for b, q in first.items() if p < q for r in repeats(a, b)}
+    got = [tuple(r) for r in spans.shared_stretches(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]).repartition(3), least, filter_bytes).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert max(r[4] for r in got) == 440
