@@ -286,6 +286,12 @@ def hash_embeddings(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query()
+def document_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Hash embeddings of the chunks of all documents (tested against brute force; the SQL of hash_embeddings covers the form)."""
+    return pipelines.vectorization(_docs(spark, d)).select("doc_id", "chunk_id", "text_sha256", "embedding")
+
+
 @query(
     """
 WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0),

@@ -1,6 +1,8 @@
 """The driver's entry points."""
 
+import hashlib
 import os
+import struct
 
 import duckdb
 import pytest
@@ -34,3 +36,22 @@ def test_query_equals_sql(spark, name):
         return sorted(zip(*cells, strict=True), key=repr)
 
     assert rows(got) == rows(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_document_embeddings_against_brute_force(spark):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    chunks = con.execute(entry.oracle_sql()["document_chunks"]).df()
+    want = {}
+    for c in chunks.itertuples():
+        seed = f"{c.doc_id}#{c.chunk_id}\0{c.text}".encode()
+        words = struct.unpack("<64I", b"".join(hashlib.sha256(seed + struct.pack(">H", i)).digest() for i in range(8)))
+        v = [w / 4294967295.0 * 2.0 - 1.0 for w in words]
+        norm = sum(x * x for x in v) ** 0.5
+        want[c.doc_id, c.chunk_id] = (c.text_sha256, [x / norm for x in v])
+    got = entry.queries()["document_embeddings"](spark, SF).collect()
+    assert len(got) == len(want) > 100
+    for r in got:
+        digest, v = want[r.doc_id, r.chunk_id]
+        assert r.text_sha256 == digest and r.embedding == pytest.approx(v, abs=1e-12)
