@@ -161,6 +161,14 @@ NAME_CUES = (
 _ANNOUNCED = re.compile(
     rf"(?:{'|'.join(re.escape(c) for c in NAME_CUES)})\s+(?i:{_TITLE})({_CAP}(?:\s[A-Z]\.)?\s(?:(?:de|van|von|da|di|la|del|du|der)\s)*{_CAP}|{_CAP},\s{_CAP})(?![\w-])",
 )
+#: titles before a name, each an anchor of its own; capitalised, with two capitalised words or an initial and one behind
+TITLES = ("mr", "mrs", "ms", "dr", "prof", "professor", "herr", "frau", "mme", "mlle", "madame", "monsieur", "sig", "signor", "signora", "señor", "señora", "sra", "dott", "mevrouw", "meneer", "senhor", "senhora")
+_PARTICLE = r"(?:(?:de|van|von|da|di|la|del|der|du|den|dos|ter)\s){0,2}"
+_TITLED = re.compile(
+    rf"(?<![\w@.\-])(?:(?i:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?\s+)+({_CAP}(?:\s[A-Z]\.){{0,2}}\s{_PARTICLE}{_CAP}|(?:[A-Z]\.\s?){{1,3}}{_PARTICLE}{_CAP})(?![\w-])"
+)
+#: after the name of a street, a house and the like a titled name is none
+_NO_PERSON = re.compile(rf"[^.!?\n]?\s(?:{STREET_EN}|trust|archive|library|museum|school|hospital|foundation|prize|hall|bridge|college|society)\b", re.IGNORECASE)
 _ANNOUNCED_LOW = re.compile(rf"(?:{'|'.join(re.escape(c) for c in NAME_CUES)})\s")
 _ZH_ANNOUNCED = re.compile(rf"(?:联系|据|此致[，,]?|收件人|签名[：:]?|署名[：:]?|采访者[：:]?|在场[：:]?|姓名[：:]?|我们和|签字人[：:]?)([{FAMILY_ZH}][一-鿿]{{1,2}})(?=[，,。、；说住签谈：]|邮箱|地址|$)")
 
@@ -198,7 +206,7 @@ class Finder:
         a = ahocorasick.Automaton()
         spoken = dict.fromkeys([*"|".join(DIGIT_WORDS).split("|"), *DIGITS_ZH])
         for kind, words in (
-            ("at", AT), ("phone", PHONE_CUES), ("id", ID_CUES), ("street", STREET_ANCHORS), ("name", [*family]), ("zh", given_zh), ("cue", NAME_CUES), ("digit", spoken),
+            ("at", AT), ("phone", PHONE_CUES), ("id", ID_CUES), ("street", STREET_ANCHORS), ("name", [*family]), ("zh", given_zh), ("cue", NAME_CUES), ("digit", spoken), ("title", TITLES),
         ):
             for w in words:
                 a.add_word(w, (*a.get(w, ()), (kind, len(w))))
@@ -240,6 +248,12 @@ class Finder:
                 if grown:
                     shift = m.start()
                     found.append(Span("name", grown.start(1) + shift, grown.end(1) + shift))
+        if "title" in anchors:
+            for m in _TITLED.finditer(view):
+                last = m.group(1).split()[-1].lower()
+                if view[m.start()].isupper() and not _NO_PERSON.match(view, m.end()) and not re.fullmatch(STREET_EN, last):
+                    if all(m.end(1) <= x.start or m.start(1) >= x.end for x in found):  # the gazetteer knows where a name ends
+                        found.append(Span("name", m.start(1), m.end(1)))
         if not low.isascii():
             found += [Span("name", m.start(1), m.end(1)) for m in _ZH_ANNOUNCED.finditer(low)]
         taken = settle(taken, found)

@@ -89,6 +89,22 @@ def test_pii_without_cue(text, want):
     assert [(s.kind, text[s.start : s.end]) for s in found] == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("then Mr John Miller came in", ["John Miller"]),
+        ("gestern war Frau Dr. Anna von Altenberg da", ["Anna von Altenberg"]),
+        ("it was Mrs. J. R. Hathaway who wrote", ["J. R. Hathaway"]),
+        ("hier, Mme Claire Dupont a écrit", ["Claire Dupont"]),
+        ("they met at Dr John Miller Street", []),
+        ("the Mr John Miller Trust gave it", []),
+        ("Mr Speaker, the house is full", []),
+    ],
+)
+def test_pii_titled_names_outside_the_gazetteer(text, want):
+    assert [text[s.start : s.end] for s in pii.default_finder().find(text) if s.kind == "name"] == want
+
+
 def test_pii_gazetteer_name_that_is_a_digit_word():
     finder = pii.Finder(["anna"], ["acht"], [])
     assert [s.kind for s in finder.find("Anna Acht said five five five oh one oh five")] == ["name", "phone"]
