@@ -31,13 +31,19 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every descendant of every event that a root reaches, with its distance."""
+    pairs = h.ancestor_pairs(h.build_hierarchy(_links(spark, d), with_paths=True))
+    return pairs.select("ancestor", "descendant", F.col("distance").cast("int").alias("distance"))
+
+
 def p4_circles(spark: SparkSession, d: str) -> DataFrame:
     """The events that no root reaches, told apart by whether they lie on the circle or below it."""
     links = _links(spark, d)
     return h.circles(links, h.build_hierarchy(links)).select(F.col("node").alias("event_id"), "on_circle")
 
 
-QUERIES = {"p4_found": p4_found, "p4_descendants": p4_descendants, "p4_circles": p4_circles}
+QUERIES = {"p4_found": p4_found, "p4_descendants": p4_descendants, "p4_pairs": p4_pairs, "p4_circles": p4_circles}
 
 _NODES = r"""
 first AS (
@@ -79,6 +85,18 @@ below AS (
 SELECT t.node AS event_id, t.path, coalesce(n_children, 0)::BIGINT AS n_children,
        coalesce(n_descendants, 0)::BIGINT AS n_descendants, coalesce(height, 0)::INTEGER AS height
 FROM tree t LEFT JOIN below b ON b.ancestor = t.node
+""",
+    "p4_pairs": f"""
+WITH RECURSIVE {_NODES},
+pairs AS (
+  SELECT l.parent AS ancestor, l.node AS descendant, 1 AS distance FROM links l JOIN (
+    WITH RECURSIVE tree AS (
+      SELECT node FROM links WHERE parent IS NULL
+      UNION ALL SELECT k.node FROM tree t JOIN links k ON k.parent = t.node)
+    SELECT node FROM tree) r ON r.node = l.node
+  WHERE l.parent IS NOT NULL
+  UNION ALL SELECT p.ancestor, l.node, p.distance + 1 FROM pairs p JOIN links l ON l.parent = p.descendant)
+SELECT ancestor, descendant, distance::INTEGER AS distance FROM pairs
 """,
     "p4_circles": f"""
 WITH RECURSIVE {_NODES},

@@ -55,3 +55,12 @@ def test_document_embeddings_against_brute_force(spark):
     for r in got:
         digest, v = want[r.doc_id, r.chunk_id]
         assert r.text_sha256 == digest and r.embedding == pytest.approx(v, abs=1e-12)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_descendants_equal_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view audit_events as select * from '{SF}/audit_events.parquet'")
+    want = con.execute(entry.oracle_sql()["p4_pairs"]).fetchall()
+    got = [(r.ancestor, r.descendant, r.distance) for r in entry.queries()["p4_pairs"](spark, SF).collect()]
+    assert len(got) > 0 and sorted(got) == sorted(want)
