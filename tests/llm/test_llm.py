@@ -122,48 +122,100 @@ def test_pii_table(spark):
 
 # ---- 2: abuse ------------------------------------------------------------------------------------------------------
 
-MATCHER = abuse.Matcher.build(abuse.LEXICONS)
+def labelled(d):
+    """(text, is_abusive, category) of the review sample of a data folder, by item."""
+    import pyarrow.parquet as pq
+
+    read = lambda t: pq.read_table(f"{d}/{t}.parquet").to_pylist()
+    texts = {("document", str(r["doc_id"])): r["text"] for r in read("documents")} | {("atom", r["atom_id"]): r["text"] for r in read("atoms")}
+    rows = sorted(read("moderation_labels"), key=lambda r: (r["item_kind"], r["item_id"]))
+    return [(texts[k], r["is_abusive"], r["category"]) for r in rows if (k := (r["item_kind"], r["item_id"])) in texts and texts[k]]
+
+
+@pytest.fixture(scope="module")
+def sample():
+    return labelled("/root/testdata/sf0.1")
+
+
+def test_abuse_held_out(sample):
+    """Precision and recall on labels that the fit has not seen. Some labels are wrong, so neither can be 1, and these are
+    few: with 4,000 both are above 0.9 (README)."""
+    good = wrong = missed = 0
+    for part in range(3):
+        model = abuse.fit([r for i, r in enumerate(sample) if i % 3 != part])
+        held = [r for i, r in enumerate(sample) if i % 3 == part]
+        found = (model.scores([t for t, _, _ in held], model.matcher()) >= abuse.THRESHOLD).any(axis=1)
+        good += sum(bool(f) and bool(b) for f, (_, b, _) in zip(found, held, strict=True))
+        wrong += sum(bool(f) and not b for f, (_, b, _) in zip(found, held, strict=True))
+        missed += sum(not f and bool(b) for f, (_, b, _) in zip(found, held, strict=True))
+    assert good / (good + wrong) >= 0.9 and good / (good + missed) >= 0.75, (good, wrong, missed)
+
+
+def test_abuse_trees_decide(sample):
+    """Without the trees there is no score, and labels turned round turn the scores round: nothing is set by hand."""
+    texts = ["You are a worthless asshole and everyone knows it.", "The archivist kept the recipe cards in a single afternoon."]
+    model = abuse.fit(sample)
+    plain = model.scores(texts, model.matcher())[:, 0]
+    assert plain[0] > 0.5 > plain[1]
+    bare = abuse.fit([])
+    assert len(set(bare.scores(texts, bare.matcher())[:, 0])) == 1
+    turned = abuse.fit([(t, 1 - b, None if b else "harassment") for t, b, _ in sample])
+    assert turned.scores(texts, turned.matcher())[0, 0] < 0.5
+    used = {abuse.FEATURES[j] for t in model.trees for j in t.used()}
+    assert any("vocabulary" in f for f in used) and any("near" in f for f in used) and "insult" in used
 
 
 @pytest.mark.parametrize(
-    ("text", "category"),
+    ("text", "plain"),
     [
-        ("Every word you write proves what a bastard you are.", "harassment"),
-        ("Tu n'es qu'un s.a.l.a.u.d et tout le monde le sait", "harassment"),
-        ("Listen, looooowlife, nobody would miss you.", "harassment"),
-        ("every word proves what a dumb4$$ you are", "harassment"),
-        ("What a pathetic ｉｍｂｅｃｉｌｅ you are", "harassment"),
-        ("Only a complete cr*tin like you would sign this.", "harassment"),
-        ("You are a dumbаss", "harassment"),
-        ("Die Flüchtlinge sind Ungeziefer und gehören vertrieben.", "hate"),
-        ("those m i g r a n t s breed like rats", "hate"),
-        ("他说要脱光她的衣服整夜做爱，淫荡得很。", "sexual"),
-        ("Er wollte sie die ganze Nacht f1ck3n", "sexual"),
-        ("The cock crowed at four and woke the whole farm.", None),
-        ("The presenter read from an idiot board held beside the camera.", None),
-        ("The rats in the cellar are vermin and the trapper came twice.", None),
-        ("Foreigners and hill people are welcome at the reading room.", None),
-        ("It was a bloody nose and nothing more.", None),
-        ("Die Aktzeichnung hängt im Flur.", None),
-        ("", None),
+        ("a s.a.l.a.u.d and more", "a salaud and more"),
+        ("looooowlife", "lowlife"),
+        ("a dumb4$$ here", "a dumbass here"),
+        ("what an @sshole", "what an asshole"),
+        ("$alaud", "salaud"),
+        ("5hithead", "shithead"),
+        ("a cr*tin like", "a cretin like"),
+        ("a dumbаss", "a dumbass"),
+        ("ba\u200bstard", "bastard"),
+        ("those m i g r a n t s", "those migrants"),
+        ("shelf mark a553 and 65317cac", "shelf mark a553 and 65317cac"),
+        ("1st of may, no. 3b!", "1st of may, no. 3b!"),
     ],
 )
-def test_abuse_margins(text, category):
-    margins = abuse.base_margins(abuse.text_vector(text, MATCHER)[None, :])[0]
-    assert [c for c, m in zip(abuse.CATEGORIES, margins, strict=True) if m > 0] == ([category] if category else [])
+def test_undisguise(text, plain):
+    matcher = abuse.Matcher(abuse.LEXICONS)
+    assert abuse.undisguise(text, matcher)[0] == plain
+    x = abuse.read([text], matcher).x
+    assert (x[:, abuse.FEATURES.index("obfuscation")].max() > 0) == (text != plain)
+
+
+def test_abuse_sentences():
+    """Vectors by sentence do not depend on the other texts of a run; every text has a sentence; full width is plain."""
+    matcher = abuse.Matcher(abuse.LEXICONS)
+    texts = ["", "One. Two! You idiot", "\n\n", "Ｙｏｕ ｉｄｉｏｔ", "你是白痴。好", "x" * 50_000]
+    together = abuse.read(texts, matcher)
+    assert len(together.first) == len(texts) + 1 and (np.diff(together.first) >= 1).all()
+    for i, t in enumerate(texts):
+        assert np.allclose(abuse.read([t], matcher).x, together.x[together.first[i] : together.first[i + 1]])
+    mild, near = abuse.FEATURES.index("mild"), abuse.FEATURES.index("insult+mild near second")
+    assert together.x[together.first[1] : together.first[2], mild].max() > 0 and together.x[together.first[3], near] > 0
 
 
 def test_boosting_and_isotonic():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(800, 5))
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
-    model = boosting.boost(x[:600], y[:600], np.zeros(600))
-    held = model.margin(x[600:], np.zeros(200))
+    model = boosting.boost(x[:600], y[:600])
+    held = model.margin(x[600:])
     assert ((held > 0) == y[600:]).mean() > 0.9
+    assert np.allclose(model._sum(boosting.binned(x[600:], model.edges)), held)
     steps = boosting.isotonic(held, y[600:])
     p = boosting.calibrate(np.sort(held), steps)
     assert (np.diff(p) >= -1e-12).all() and 0 <= p.min() and p.max() <= 1
-    assert boosting.boost(x[:3], y[:3], np.zeros(3)).trees == []
+    assert boosting.boost(x[:3], np.ones(3)).leaf == []
+    twice = boosting.boost(np.concatenate((x[:300], x[:300])), np.concatenate((y[:300], y[:300])))
+    weighted = boosting.boost(x[:300], y[:300], np.full(300, 2.0))
+    assert np.allclose(twice.margin(x), weighted.margin(x))
 
 
 def test_abuse_table(spark):
