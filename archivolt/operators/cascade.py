@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archivolt.operators.hierarchy import ancestor_pairs
+from archivolt.operators.hierarchy import build_hierarchy
 
 
-def tainted(hierarchy: DataFrame, withdrawn: DataFrame) -> DataFrame:
+def tainted(links: DataFrame, withdrawn: DataFrame) -> DataFrame:
     """(node, origin, distance): every node below a withdrawn one, with the nearest withdrawn ancestor.
 
-    ``hierarchy`` must have paths; ``withdrawn`` is (node). Withdrawn nodes themselves are listed if they lie below
-    another one.
+    ``links`` is (node, parent), ``withdrawn`` (node). Withdrawn nodes themselves are listed if they lie below another
+    one; nodes on circles or below them are not. The nearest one is carried along from ancestor to descendant.
     """
-    hit = ancestor_pairs(hierarchy).join(withdrawn.select(F.col("node").alias("ancestor")).distinct(), "ancestor", "left_semi")
-    nearest = hit.groupBy(F.col("descendant").alias("node")).agg(F.min(F.struct("distance", "ancestor")).alias("m"))
-    return nearest.select("node", F.col("m.ancestor").alias("origin"), F.col("m.distance").alias("distance"))
+    marked = links.select("node", "parent").join(withdrawn.select("node", F.lit(True).alias("marked")).distinct(), "node", "left")
+    tree = build_hierarchy(marked.select("node", "parent", F.coalesce("marked", F.lit(False)).alias("marked")), marks=True)
+    return tree.where("near is not null").select("node", F.col("near.node").alias("origin"), F.col("near.distance").alias("distance"))
 
 
 def fully_tainted(members: DataFrame, found: DataFrame, group: str) -> DataFrame:

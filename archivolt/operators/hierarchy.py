@@ -1,11 +1,11 @@
 """Parent-child links to full hierarchies.
 
-Level-wise frontier joins from the roots. A plain frontier would need one join per level; here the frontier of round
-``k`` is the whole range of depths ``[2**k, 2**(k+1))``: every node that is not reached yet keeps a pointer to its
-``2**k``-th ancestor, and one equi-join on that pointer either meets a node that has been reached (the node gets root,
-depth and path from it) or doubles the pointer. A tree of depth ``d`` takes ``log2(d) + 2`` joins, each on a unique key,
-so a record that holds a third of all events costs no more than any other. Ranges of depth are contiguous: a round that
-reaches nothing proves that all that remain lie on a circle or below one.
+Frontier joins from the roots. A frontier of one level a round would need as many rounds as the tree is deep; here the
+frontier of round ``k`` is the whole range of depths ``[2**k, 2**(k+1))``: every node that is not reached yet keeps a
+pointer to its ``2**k``-th ancestor, and one equi-join on that pointer either meets a node that has been reached (the
+node gets root, depth and path from it) or doubles the pointer. A tree of depth ``d`` takes ``log2(d) + 2`` joins, each on
+a unique key, so a record that holds a third of all events costs no more than any other. Ranges of depth are contiguous:
+a round that reaches nothing proves that all that remain lie on a circle or below one.
 """
 
 from __future__ import annotations
@@ -51,61 +51,65 @@ def parent_links(events: DataFrame) -> DataFrame:
     return linked.select("node", "parent").unionByName(plain.select("node", "parent"))
 
 
-def build_hierarchy(links: DataFrame, with_paths: bool = False) -> DataFrame:
-    """(node, parent, root, depth, cyclic[, path]) of a table (node, parent) with unique, non-null nodes.
+def _start(links: DataFrame, with_paths: bool, marks: bool) -> DataFrame:
+    """The links as state of round 0: roots are reached, all others point to their parent."""
+    marked = F.col("marked") if marks else F.lit(False)
+    known = links.select(F.col("node").alias("parent"), F.lit(True).alias("known"), marked.alias("above"))
+    joined = links.where("parent is not null").select("node", "parent").join(known, "parent", "left")
+    rows = joined.select("node", F.when(F.col("known"), F.col("parent")).alias("parent"), "above").unionByName(
+        links.where("parent is null").select("node", "parent", F.lit(False).alias("above"))
+    )
+    root = F.col("parent").isNull()
+    return rows.select(
+        "node", "parent", F.col("parent").alias("ptr"), F.when(root, F.col("node")).alias("root"), F.when(root, 0).cast("int").alias("depth"),
+        *([F.array("node").alias("path")] if with_paths else []),
+        *([F.when(F.col("above"), F.struct(F.lit(1).alias("distance"), F.col("parent").alias("node"))).alias("near")] if marks else []),
+    )
+
+
+def build_hierarchy(links: DataFrame, with_paths: bool = False, marks: bool = False, doubling: bool = True) -> DataFrame:
+    """(node, parent, root, depth, cyclic[, path][, near]) of a table (node, parent[, marked]) with unique, non-null nodes.
 
     A parent that is null or no node makes a root (depth 0, own root). Nodes on a circle or below one have
-    ``cyclic = true`` and null root, depth and path. ``path`` runs from the root to the node, both included.
-    Empty input gives an empty result. Links are read once; every round is checkpointed, so a lost executor costs a
-    round at most.
+    ``cyclic = true`` and null root, depth, path and near. ``path`` runs from the root to the node, both included. With
+    ``marks``, ``near`` is the (distance, node) of the nearest proper ancestor whose ``marked`` is true, null if there is
+    none. Without ``doubling`` a frontier is one level. Empty input gives an empty result.
+
+    Links are read once. A node is written once when it is reached, and in the rounds before it; rows that have been
+    reached are never written again. Every round is a table in the checkpoint folder, so a lost executor costs a round.
     """
-    known = links.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
-    base = links.where("parent is not null").join(known, "parent", "left")
-    is_root = F.col("known").isNull()
-    start = (
-        base.select("node", F.when(~is_root, F.col("parent")).alias("parent"))
-        .unionByName(links.where("parent is null").select("node", "parent"))
-        .select(
-            "node",
-            "parent",
-            F.col("parent").alias("ptr"),
-            F.when(F.col("parent").isNull(), F.col("node")).alias("root"),
-            F.when(F.col("parent").isNull(), F.lit(0)).cast("int").alias("depth"),
-        )
-    )
-    if with_paths:
-        start = start.withColumn("path", F.array("node"))
-    state = cut(start)
-    reached, step = state.where("root is not null").count(), 1
+    extra = [*(["path"] if with_paths else []), *(["near"] if marks else [])]
+    state = cut(_start(links, with_paths, marks))
+    reached, step = [state.where("root is not null")], 1
+    pending = state.where("root is null")
     while True:
-        open_rows = state.where("root is null")
-        target = state.select(
-            F.col("node").alias("ptr"),
-            F.col("ptr").alias("ptr_t"),
-            F.col("root").alias("root_t"),
-            F.col("depth").alias("depth_t"),
-            *([F.col("path").alias("path_t")] if with_paths else []),
+        # a frontier that doubles may meet any reached node, one of a single level only the level before it
+        frontier = reached if doubling else reached[-1:]
+        targets = [f.select(F.col("node").alias("ptr"), F.lit(None).cast(links.schema["node"].dataType).alias("ptr_t"), "root", "depth", *[F.col(c).alias(f"{c}_t") for c in extra]) for f in frontier]
+        if doubling:
+            targets.append(pending.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr_t"), "root", "depth", *[F.col(c).alias(f"{c}_t") for c in extra]))
+        target = targets[0]
+        for t in targets[1:]:
+            target = target.unionByName(t)
+        moved = pending.select("node", "parent", "ptr", *extra).join(target, "ptr", "inner" if doubling else "left")
+        met = F.col("root").isNotNull()
+        state = cut(
+            moved.select(
+                "node", "parent", F.when(~met, F.col("ptr_t") if doubling else F.col("ptr")).alias("ptr"), "root",
+                (F.col("depth") + step).cast("int").alias("depth"),
+                *([F.when(met if not doubling else F.lit(True), F.concat("path_t", "path")).otherwise(F.col("path")).alias("path")] if with_paths else []),
+                *([F.coalesce("near", F.when(F.col("near_t").isNotNull(), F.struct((F.col("near_t.distance") + step).cast("int").alias("distance"), F.col("near_t.node").alias("node")))).alias("near")] if marks else []),
+            )
         )
-        moved = open_rows.join(target, "ptr").select(
-            "node",
-            "parent",
-            F.when(F.col("root_t").isNull(), F.col("ptr_t")).alias("ptr"),
-            F.col("root_t").alias("root"),
-            (F.col("depth_t") + F.lit(step)).cast("int").alias("depth"),
-            *([F.concat("path_t", "path").alias("path")] if with_paths else []),
-        )
-        done = state.where("root is not null")
-        state = cut(done.unionByName(moved.select(done.columns)))
-        now = state.where("root is not null").count()
-        if now == reached:
+        found = state.where("root is not null")
+        if found.isEmpty():
             break
-        reached, step = now, step * 2
-    cyclic = F.col("root").isNull()
-    out = state.select("node", "parent", "root", "depth", cyclic.alias("cyclic"))
-    if with_paths:
-        out = state.select(
-            "node", "parent", "root", "depth", cyclic.alias("cyclic"), F.when(~cyclic, F.col("path")).alias("path")
-        )
+        reached.append(found)
+        pending = state.where("root is null")
+        step = step * 2 if doubling else 1
+    out = state.where("root is null").select("node", "parent", "root", "depth", F.lit(True).alias("cyclic"), *[F.lit(None).cast(state.schema[c].dataType).alias(c) for c in extra])
+    for found in reached:
+        out = out.unionByName(found.select("node", "parent", "root", "depth", F.lit(False).alias("cyclic"), *extra))
     return out
 
 
@@ -120,21 +124,22 @@ def ancestor_pairs(hierarchy: DataFrame) -> DataFrame:
 
 
 def descendant_counts(hierarchy: DataFrame) -> DataFrame:
-    """(node, n_children, n_descendants, height) for every node reached from a root; leaves have zeros."""
-    below = (
-        ancestor_pairs(hierarchy)
-        .groupBy(F.col("ancestor").alias("node"))
-        .agg(
-            F.count_if(F.col("distance") == 1).alias("n_children"),
-            F.count(F.lit(1)).alias("n_descendants"),
-            F.max("distance").alias("height"),
-        )
-    )
-    return hierarchy.where("not cyclic").select("node").join(below, "node", "left").select(
-        "node",
-        F.coalesce("n_children", F.lit(0)).cast("bigint").alias("n_children"),
-        F.coalesce("n_descendants", F.lit(0)).cast("bigint").alias("n_descendants"),
-        F.coalesce("height", F.lit(0)).cast("int").alias("height"),
+    """(node, path, n_children, n_descendants, height) for every node reached from a root; leaves have zeros.
+
+    The paths are dealt out in ranges of their order, so that what lies below one node lies together and is counted
+    before it is shuffled; a node with very much below it spreads over several ranges. Each node also gives a zero of its
+    own, so that no join is needed.
+    """
+    paths = hierarchy.where("path is not null").select("path").repartitionByRange("path")
+    last = F.size("path") - 1
+    each = paths.select(
+        F.posexplode("path").alias("pos", "node"), last.alias("depth"), F.col("path").alias("whole")
+    ).select("node", (F.col("depth") - F.col("pos")).alias("distance"), F.when(F.col("pos") == F.col("depth"), F.col("whole")).alias("path"))
+    return each.groupBy("node").agg(
+        F.max("path").alias("path"),
+        F.count_if(F.col("distance") == 1).alias("n_children"),
+        F.count_if(F.col("distance") > 0).alias("n_descendants"),
+        F.max("distance").cast("int").alias("height"),
     )
 
 

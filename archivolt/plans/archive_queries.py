@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from archivolt.functions import text as tx
 from archivolt.operators import audit, cascade, graph, moderation, relations, segments
-from archivolt.operators.hierarchy import build_hierarchy, parent_links
+from archivolt.operators.hierarchy import parent_links
 from archivolt.operators.neighbours import neighbours
 from archivolt.operators.vectors import hash_embedding
 from archivolt.plans import pipelines
@@ -400,8 +400,7 @@ FROM up u JOIN first f ON f.event_id = u.ancestor AND f.event_type = 'consent_wi
 def withdrawal_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Events that follow from a withdrawal, with the nearest one above them."""
     events = table(spark, d, "audit_events")
-    tree = build_hierarchy(parent_links(events), with_paths=True)
-    return cascade.tainted(tree, events.where("event_type = 'consent_withdrawn'").select(F.col("event_id").alias("node")))
+    return cascade.tainted(parent_links(events), events.where("event_type = 'consent_withdrawn'").select(F.col("event_id").alias("node")))
 
 
 # ---- relations -----------------------------------------------------------------------------------------------------

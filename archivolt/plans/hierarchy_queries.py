@@ -25,9 +25,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     """Path, number of children and descendants, and height below, of every event that a root reaches."""
     tree = h.build_hierarchy(_links(spark, d), with_paths=True)
-    paths = tree.where("not cyclic").select("node", F.array_join("path", "/").alias("path"))
-    return h.descendant_counts(tree).join(paths, "node").select(
-        F.col("node").alias("event_id"), "path", "n_children", "n_descendants", "height"
+    return h.descendant_counts(tree).select(
+        F.col("node").alias("event_id"), F.array_join("path", "/").alias("path"), "n_children", "n_descendants", "height"
     )
 
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CUTS = "archivolt-cuts"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, busy: bool = False) -> DataFrame:
     """The Parquet table ``name`` of a data folder (one file or one directory); ``busy``: see ``spread``."""
@@ -45,9 +48,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through a reliable checkpoint in the shared folder (never a local one)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cuts the lineage: writes a table into the shared checkpoint folder and reads it back.
+
+    The table is columnar, so later reads take the columns and rows they need, and its size is known to the optimizer.
+    """
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{CUTS}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def release_cuts(spark: SparkSession) -> None:
+    """Deletes the tables of all cuts of this application, once no result that reads them is needed any more."""
+    jvm, folder = spark.sparkContext._jvm, f"{ensure_checkpoint_dir(spark).rstrip('/')}/{CUTS}"
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def groups_for(n_rows: int, rows_per_group: int) -> int:

@@ -197,6 +197,8 @@ def test_hierarchy_against_brute_force(spark):
     links += [(f"chain{i}", f"chain{i - 1}") for i in range(1, 40)]
     df = spark.createDataFrame(links, LINKS)
     tree = h.build_hierarchy(df, with_paths=True)
+    levels = h.build_hierarchy(df, with_paths=True, doubling=False)  # one level a round
+    assert sorted(levels.collect(), key=lambda r: r.node) == sorted(tree.collect(), key=lambda r: r.node)
     want = brute_hierarchy(links)
     for r in tree.collect():
         path = want[r.node]
@@ -207,8 +209,12 @@ def test_hierarchy_against_brute_force(spark):
         assert counts[n] == sum(1 for m, p in want.items() if p and n in p and m != n)
     on = {r.node: r.on_circle for r in h.circles(df, tree).collect()}
     assert on == {"x1": True, "x2": True, "x3": True, "x4": False, "below": False, "self": True}
-    hit = {r.node: (r.origin, r.distance) for r in cascade.tainted(tree, spark.createDataFrame([("chain2",), ("chain5",)], "node string")).collect()}
-    assert hit["chain3"] == ("chain2", 1) and hit["chain6"] == ("chain5", 1) and "chain2" not in hit
+    hit = {r.node: (r.origin, r.distance) for r in cascade.tainted(df, spark.createDataFrame([("chain2",), ("chain5",), ("x1",), ("chain5",)], "node string")).collect()}
+    withdrawn = ("chain2", "chain5", "x1")
+    for n, path in want.items():
+        above = [(m, k) for k, m in enumerate((path or [])[-2::-1], start=1) if m in withdrawn]
+        assert hit.get(n) == (above[0] if above else None), n
+    assert hit["chain3"] == ("chain2", 1) and hit["chain6"] == ("chain5", 1) and "chain2" not in hit and hit["chain5"] == ("chain2", 3)
 
 
 def test_hierarchy_of_nothing(spark):
