@@ -10,10 +10,10 @@ a round that reaches nothing proves that all that remain lie on a circle or belo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from archivolt.runtime import cut
+from archivolt.runtime import cut, save
 
 HEX64 = r"^(?:sha-?256)?[:=]?([0-9a-f]{64})$"
 
@@ -79,38 +79,37 @@ def build_hierarchy(links: DataFrame, with_paths: bool = False, marks: bool = Fa
     reached are never written again. Every round is a table in the checkpoint folder, so a lost executor costs a round.
     """
     extra = [*(["path"] if with_paths else []), *(["near"] if marks else [])]
-    state = cut(_start(links, with_paths, marks))
-    reached, step = [state.where("root is not null")], 1
-    pending = state.where("root is null")
+    first = _start(links, with_paths, marks)
+    rounds, step = [save(first)], 1  # the tables of the rounds so far: rows that a round has reached, and those it has not
+
+    def rows(of: list[str], met: bool) -> DataFrame:
+        table = links.sparkSession.read.schema(first.schema).parquet(*of)
+        return table.where(F.col("root").isNotNull() if met else F.col("root").isNull())
+
     while True:
-        # a frontier that doubles may meet any reached node, one of a single level only the level before it
-        frontier = reached if doubling else reached[-1:]
-        targets = [f.select(F.col("node").alias("ptr"), F.lit(None).cast(links.schema["node"].dataType).alias("ptr_t"), "root", "depth", *[F.col(c).alias(f"{c}_t") for c in extra]) for f in frontier]
-        if doubling:
-            targets.append(pending.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr_t"), "root", "depth", *[F.col(c).alias(f"{c}_t") for c in extra]))
-        target = targets[0]
-        for t in targets[1:]:
-            target = target.unionByName(t)
+        pending = rows(rounds[-1:], met=False)
+        # a frontier that doubles may meet any reached node or a pending one, one of a single level only the level before
+        frontier = rows(rounds, met=True).unionByName(pending) if doubling else rows(rounds[-1:], met=True)
+        target = frontier.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr_t"), "root", "depth", *[F.col(c).alias(f"{c}_t") for c in extra])
         moved = pending.select("node", "parent", "ptr", *extra).join(target, "ptr", "inner" if doubling else "left")
         met = F.col("root").isNotNull()
-        state = cut(
+        longer = F.concat("path_t", "path") if with_paths else None
+        further = F.when(F.col("near_t").isNotNull(), F.struct((F.col("near_t.distance") + step).cast("int").alias("distance"), F.col("near_t.node").alias("node"))) if marks else None
+        seen = Observation()
+        rounds.append(save(
             moved.select(
-                "node", "parent", F.when(~met, F.col("ptr_t") if doubling else F.col("ptr")).alias("ptr"), "root",
-                (F.col("depth") + step).cast("int").alias("depth"),
-                *([F.when(met if not doubling else F.lit(True), F.concat("path_t", "path")).otherwise(F.col("path")).alias("path")] if with_paths else []),
-                *([F.coalesce("near", F.when(F.col("near_t").isNotNull(), F.struct((F.col("near_t.distance") + step).cast("int").alias("distance"), F.col("near_t.node").alias("node")))).alias("near")] if marks else []),
-            )
-        )
-        found = state.where("root is not null")
-        if found.isEmpty():
+                "node", "parent", F.when(~met, F.col("ptr_t") if doubling else F.col("ptr")).alias("ptr"), "root", (F.col("depth") + step).cast("int").alias("depth"),
+                *([(longer if doubling else F.when(met, longer).otherwise(F.col("path"))).alias("path")] if with_paths else []),
+                *([F.coalesce("near", further).alias("near")] if marks else []),
+            ).observe(seen, F.count("root").alias("met"))
+        ))
+        if not seen.get["met"]:
             break
-        reached.append(found)
-        pending = state.where("root is null")
         step = step * 2 if doubling else 1
-    out = state.where("root is null").select("node", "parent", "root", "depth", F.lit(True).alias("cyclic"), *[F.lit(None).cast(state.schema[c].dataType).alias(c) for c in extra])
-    for found in reached:
-        out = out.unionByName(found.select("node", "parent", "root", "depth", F.lit(False).alias("cyclic"), *extra))
-    return out
+    circular = rows(rounds[-1:], met=False).select(
+        "node", "parent", "root", "depth", F.lit(True).alias("cyclic"), *[F.lit(None).cast(first.schema[c].dataType).alias(c) for c in extra]
+    )
+    return rows(rounds, met=True).select("node", "parent", "root", "depth", F.lit(False).alias("cyclic"), *extra).unionByName(circular)
 
 
 def ancestor_pairs(hierarchy: DataFrame) -> DataFrame:

@@ -47,15 +47,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def save(df: DataFrame) -> str:
+    """Writes a table into the shared checkpoint folder; returns its own folder."""
+    folder = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{CUTS}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes a table into the shared checkpoint folder and reads it back.
 
     The table is columnar, so later reads take the columns and rows they need, and its size is known to the optimizer.
     """
-    spark = df.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{CUTS}/{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(save(df))
 
 
 def release_cuts(spark: SparkSession) -> None:
