@@ -2,9 +2,10 @@
 
 The tokens of every source are laid end to end in a pseudorandom order of its documents and cut into blocks of one
 length. Quotas of blocks follow the target shares; a source that cannot reach its share with ``max_repeats`` passes gives
-all it has, and what is missing goes to the others in proportion to their shares. Every output shard draws its counts by
-source from the multinomial distribution of the blocks still to be placed, so that the totals come out exactly. Slot k
-of a source is block ``perm(k mod n)`` of pass ``k div n``, perm being a keyed permutation of the block indexes that
+all it has, and what is missing goes to the others in proportion to their shares. The slots of a source fall into the
+output shards by a multinomial draw, made as nested binomial splits of the range of shards, so that every task draws its
+own shards and the totals come out exactly; a shard's counts by source are then multinomial given its size. Slot k of a
+source is block ``perm(k mod n)`` of pass ``k div n``, perm being a keyed permutation of the block indexes that
 needs no shuffle and no memory, and the block's documents are found by joining on (source, block).
 """
 
@@ -24,6 +25,8 @@ from archivolt.runtime import cut, groups_for, salt
 ROWS_PER_BUCKET = 20_000
 #: rows of the targets table; a table of sources is small by nature and read into the driver
 MAX_SOURCES = 10_000
+#: output shards that are drawn together
+SHARDS_AT_ONCE = 64
 
 
 @dataclass(frozen=True)
@@ -95,26 +98,23 @@ def plan_quotas(rows: list[tuple[str, float, int, int]], block: int) -> list[Quo
     ]
 
 
-def draw_shards(quotas: list[Quota], slots_per_shard: int, seed: int) -> list[tuple[int, str, int, int]]:
-    """(shard, source, first slot of the source, slots): multinomial counts by shard, given the totals."""
-    rng = np.random.default_rng(seed)
-    left = np.array([q.slots for q in quotas], dtype=np.int64)
-    first = np.zeros(len(quotas), dtype=np.int64)
-    out, shard = [], 0
-    while left.sum():
-        size = min(slots_per_shard, int(left.sum()))
-        drawn = rng.multivariate_hypergeometric(left, size, method="marginals") if left.sum() < 10**9 else _large(rng, left, size)
-        out += [(shard, q.source, int(a), int(n)) for q, a, n in zip(quotas, first, drawn, strict=True) if n]
-        first, left, shard = first + drawn, left - drawn, shard + 1
-    return out
+def draw_shards(slots: np.ndarray, shards: int, begin: int, end: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, first slot, slots) by source, for the shards in [begin, end) of ``shards``.
 
-
-def _large(rng: np.random.Generator, left: np.ndarray, size: int) -> np.ndarray:
-    """A multinomial draw that never takes more of a source than is left (for totals beyond the exact sampler)."""
-    drawn = np.minimum(rng.multinomial(size, left / left.sum()), left)
-    for i in np.argsort(-left):
-        drawn[i] += min(size - drawn.sum(), left[i] - drawn[i])
-    return drawn
+    The slots of every source are split binomially between the halves of a range of shards, down to single shards. A
+    split is seeded by its range, so any task that comes by draws the same; only ranges that meet [begin, end) are.
+    """
+    todo = [(0, shards, np.zeros(len(slots), dtype=np.int64), slots.astype(np.int64))] if shards else []
+    while todo:
+        low, high, first, n = todo.pop()
+        if high <= begin or end <= low:
+            continue
+        if high - low == 1:
+            yield low, first, n
+            continue
+        middle = (low + high) // 2
+        left = np.random.default_rng([seed, low, high]).binomial(n, (middle - low) / (high - low))
+        todo += [(middle, high, first + left, n - left), (low, middle, first, left)]
 
 
 def source_blocks(documents: DataFrame, targets: DataFrame, block: int, seed: int = 0) -> DataFrame:
@@ -127,7 +127,7 @@ def source_blocks(documents: DataFrame, targets: DataFrame, block: int, seed: in
     docs = (
         documents.select("doc_id", clean_source(F.col("source")).alias("source"), token_count(F.col("text")).alias("n"))
         .where("n > 0 and source is not null and doc_id is not null")
-        .join(F.broadcast(targets.select("source").limit(MAX_SOURCES)), "source", "left_semi")
+        .join(F.broadcast(targets.select("source")), "source", "left_semi")  # at most MAX_SOURCES rows, see mix
         .select("*", salt(F.col("doc_id"), buckets, seed).alias("bucket"), F.xxhash64("doc_id", F.lit(seed)).alias("rank"))
     )
     inside = Window.partitionBy("source", "bucket").orderBy("rank", "doc_id", "n")
@@ -185,21 +185,28 @@ def mix(
     if block < 1 or slots_per_shard < 1:
         raise ValueError("block and slots_per_shard must be positive")
     spark, wanted = documents.sparkSession, _normal_targets(targets)
+    if wanted.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     parts = cut(source_blocks(documents, wanted, block, seed))  # read for the totals, the set and the report
     tokens = parts.groupBy("source").agg(F.sum(F.col("token_to") - F.col("token_from")).alias("tokens"))
     rows = wanted.join(tokens, "source", "left").select(
         "source", "name", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens")
-    ).orderBy("source").limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    ).orderBy("source").collect()
     quotas = plan_quotas([(r.source, r.target_share, r.max_repeats, r.tokens) for r in rows], block)
     names = {r.source: r.name for r in rows}
-    n_blocks = {q.source: q.blocks for q in quotas}
-    numbers = {q.source: i for i, q in enumerate(quotas)}
-    drawn = [
-        (shard, source, first, n, n_blocks[source], numbers[source]) for shard, source, first, n in draw_shards(quotas, slots_per_shard, seed)
-    ]
-    runs = spark.createDataFrame(drawn, "out_shard int, source string, first bigint, n bigint, blocks bigint, number int")
+    sources, slots_of = [q.source for q in quotas], np.array([q.slots for q in quotas], dtype=np.int64)
+    blocks_of = np.array([q.blocks for q in quotas], dtype=np.int64)
+    shards = -(-int(slots_of.sum()) // slots_per_shard)
+
+    def draw(ranges: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in ranges:
+            for piece in pdf["id"]:
+                for shard, first, n in draw_shards(slots_of, shards, piece * SHARDS_AT_ONCE, min(shards, (piece + 1) * SHARDS_AT_ONCE), seed):
+                    some = np.flatnonzero(n)
+                    yield pd.DataFrame({"out_shard": shard, "source": [sources[i] for i in some], "first": first[some], "n": n[some], "blocks": blocks_of[some], "number": some})
+
+    pieces = spark.range(-(-shards // SHARDS_AT_ONCE))
+    runs = pieces.mapInPandas(draw, "out_shard int, source string, first bigint, n bigint, blocks bigint, number int")
 
     @F.pandas_udf("bigint")
     def block_of(it: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -223,8 +230,8 @@ def mix(
         "key string, source string, target_share double, max_repeats int, tokens bigint, blocks bigint, slots bigint, short boolean",
     )
     got = reached.select(F.col("source").alias("key"), "mixed_tokens", "passes")
-    overall = got.agg(F.sum("mixed_tokens").alias("all_tokens"))
-    report = planned.join(got, "key", "left").join(F.broadcast(overall)).select(
+    overall = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0)))  # over one row a source
+    report = planned.join(got, "key", "left").withColumn("all_tokens", overall).select(
         *[c for c in planned.columns if c != "key"],
         F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"),
         F.coalesce(F.col("mixed_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"),

@@ -108,6 +108,12 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return report
 
 
+def p7_quotas(spark: SparkSession, d: str) -> DataFrame:
+    """What every source has and what it is to give, in blocks of 1,024 tokens."""
+    _, report = mixing.mix(table(spark, d, "documents", busy=True), table(spark, d, "mix_targets"))
+    return report.select("source", "tokens", "blocks", "slots", "passes", "short")
+
+
 def p7_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Tokens and most passes over any document, by source, counted from the mixed set itself."""
     mixed, _ = mixing.mix(table(spark, d, "documents", busy=True), table(spark, d, "mix_targets"))
@@ -144,6 +150,7 @@ QUERIES = {
     "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_report": p7_report,
+    "p7_quotas": p7_quotas,
     "p7_sizes": p7_sizes,
     "p8_found": p8_found,
     "p8_spans": p8_spans,
@@ -170,6 +177,31 @@ t AS (
   SELECT m.source, m.target_share, m.max_repeats, coalesce(s.n, 0) AS n
   FROM mix_targets m LEFT JOIN sized s ON s.key = lower(trim(m.source)))
 SELECT source FROM t WHERE max_repeats * n < target_share * (SELECT sum(n) FROM t)
+""",
+    "p7_quotas": rf"""
+WITH sized AS (
+  SELECT lower(regexp_replace(source, '^[\t\n\r \x{{00A0}}\x{{3000}}]+|[\t\n\r \x{{00A0}}\x{{3000}}]+$', '', 'g')) AS key,
+         sum({token_count_sql('text')}) AS n
+  FROM documents GROUP BY 1),
+t AS (
+  SELECT m.source, m.target_share, m.max_repeats, coalesce(s.n, 0)::BIGINT AS tokens, (coalesce(s.n, 0)::BIGINT + 1023) // 1024 AS blocks,
+         ((coalesce(s.n, 0)::BIGINT + 1023) // 1024) * m.max_repeats AS cap
+  FROM mix_targets m LEFT JOIN sized s ON s.key = lower(trim(m.source))),
+want AS (SELECT (sum(tokens)::BIGINT + 1023) // 1024 AS n, sum(tokens) AS all_tokens FROM t),
+-- sources by how soon they are full; the level is the blocks per share that those not yet full give
+o AS (
+  SELECT *, cap / target_share AS full_at,
+         (SELECT n FROM want) - coalesce(sum(cap) OVER w, 0) AS rest, 1.0 - coalesce(sum(target_share) OVER w, 0) AS weight
+  FROM t WINDOW w AS (ORDER BY cap / target_share, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT rest / weight AS l FROM o WHERE rest / weight <= full_at ORDER BY full_at, source LIMIT 1),
+g AS (SELECT *, CASE WHEN full_at <= l THEN cap ELSE l * target_share END AS given FROM o, level),
+f AS (SELECT *, floor(given + 1e-9)::BIGINT AS low FROM g),
+r AS (SELECT *, row_number() OVER (ORDER BY (low >= cap)::INTEGER, low - given, source) AS k,
+             (SELECT least((SELECT n FROM want), sum(cap)) - sum(low) FROM f) AS spare FROM f),
+s AS (SELECT *, low + (k <= spare AND low < cap)::INTEGER AS slots FROM r)
+SELECT source, tokens, blocks, slots::BIGINT AS slots, CASE WHEN blocks = 0 THEN 0 ELSE (slots + blocks - 1) // blocks END::BIGINT AS passes,
+       max_repeats * tokens < target_share * (SELECT all_tokens FROM want) AS short
+FROM s
 """,
     "p8_found": """
 WITH w AS (
@@ -178,5 +210,33 @@ WITH w AS (
 many AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
 m AS (SELECT w.* FROM w JOIN many USING (h))
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM m a JOIN m b ON a.h = b.h AND a.doc_id < b.doc_id
+""",
+    "p8_spans": """
+WITH one AS (SELECT min(doc_id) AS doc_id, text FROM documents WHERE length(text) >= 200 AND doc_id IS NOT NULL GROUP BY text),
+w AS (
+  SELECT doc_id, i - 1 AS i, hash(substring(text, i, 200)) AS h
+  FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM one)),
+many AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+m AS (SELECT w.* FROM w JOIN many USING (h)),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, a.i, b.i - a.i AS diagonal FROM m a JOIN m b ON a.h = b.h AND a.doc_id < b.doc_id),
+runs AS (SELECT *, i - row_number() OVER (PARTITION BY x, y, diagonal ORDER BY i) AS run FROM met)
+SELECT x AS doc_id_a, y AS doc_id_b, min(i)::INTEGER AS start_a, (min(i) + diagonal)::INTEGER AS start_b, (count(*) + 199)::INTEGER AS length
+FROM runs GROUP BY x, y, diagonal, run
+""",
+    "p8_report": """
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 200 AND doc_id IS NOT NULL),
+w AS (
+  SELECT doc_id, i - 1 AS i, hash(substring(text, i, 200)) AS h
+  FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM d)),
+many AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+m AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w JOIN many USING (h)),
+per AS (
+  SELECT doc_id, count(*) FILTER (before IS NULL OR i > before + 200) AS n_spans,
+         sum(CASE WHEN before IS NULL OR i > before + 200 THEN 200 ELSE i - before END) AS shared_chars
+  FROM m GROUP BY doc_id),
+classes AS (SELECT text, min(doc_id) AS class_id FROM d GROUP BY text)
+SELECT d.doc_id, class_id, length(d.text) AS n_chars, n_spans, shared_chars::BIGINT AS shared_chars,
+       shared_chars::DOUBLE / length(d.text) AS shared_fraction
+FROM per JOIN d USING (doc_id) JOIN classes USING (text)
 """,
 }

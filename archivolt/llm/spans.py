@@ -9,8 +9,9 @@ at least one whole block of the one document, and the other document holds that
    meet on the hash; equal text is extended to the left and right, and neighbouring hits on one diagonal are merged into
    maximal repeats.
 
-Exact copies are one class: they are indexed, probed and joined as one text and multiplied out only in the result. The
-filter is broadcast and has at most ``MAX_FILTER_BYTES``; beyond that, anchors are chosen by content on both sides (the
+Exact copies are one class: their blocks and windows are merged before anything is joined, and copies are multiplied out
+only in the result. The join on the hash is salted: the windows of a hash that stands in very many places are dealt out
+over many tasks, and its blocks go to each. The filter is broadcast and has at most ``MAX_FILTER_BYTES``; beyond that, anchors are chosen by content on both sides (the
 windows that are the least of any ``least - block + 1`` in a row) and shared hashes are found by a shuffle join, which
 needs no broadcast and finds the same spans.
 """
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 
 from archivolt.runtime import cut
 
-MAX_FILTER_BYTES = 256 << 20
+MAX_FILTER_BYTES = 128 << 20
+#: places of one hash that are joined in one task at most, on the side that is dealt out
+HOT_PLACES = 2_000
 #: texts are hashed together in runs of about so many characters
 RUN_CHARS = 400_000
 _BASE = 0x9E3779B97F4A7C15
@@ -345,6 +348,17 @@ def common(a: str, b: str, i: int, j: int, block: int, side: int) -> tuple[int,
     return left, right
 
 
+def salted(places: DataFrame) -> DataFrame:
+    """The places with a column ``salts``: into how many tasks the places of a hash are dealt out, 1 for nearly all."""
+    hot = cut(
+        places.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_PLACES)
+        .select("hash", F.ceil(F.col("n") / HOT_PLACES).cast("int").alias("salts"))
+    )
+    if hot.isEmpty():
+        return places.withColumn("salts", F.lit(1))
+    return places.join(hot, "hash", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))  # broadcast only if it is small
+
+
 def class_hits(
     documents: DataFrame, least: int = 200, max_filter_bytes: int = MAX_FILTER_BYTES, every: bool = False, repeats: bool = False
 ) -> DataFrame:
@@ -371,8 +385,9 @@ def class_hits(
     else:
         anchors = _content_anchors(texts, block, least, every, repeats)
     once = anchors.groupBy("hash", "key", "pos", "is_block", "is_end").agg(F.first(F.struct("before", "around")).alias("v"))
-    a = once.where("is_block").select("hash", F.col("key").alias("key_a"), F.col("pos").alias("pos_a"), F.col("v").alias("va"), F.col("is_end").alias("end_a"))
-    b = once.select("hash", F.col("key").alias("key_b"), F.col("pos").alias("pos_b"), F.col("v").alias("vb"), F.col("is_end").alias("end_b"))
+    once = salted(cut(once))
+    a = once.where("is_block").select("hash", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("key").alias("key_a"), F.col("pos").alias("pos_a"), F.col("v").alias("va"), F.col("is_end").alias("end_a"))
+    b = once.select("hash", F.pmod(F.xxhash64("key", "pos"), "salts").cast("int").alias("salt"), F.col("key").alias("key_b"), F.col("pos").alias("pos_b"), F.col("v").alias("vb"), F.col("is_end").alias("end_b"))
 
     @F.pandas_udf("left int, right int")
     def extend(i: pd.Series, x: pd.Series, j: pd.Series, y: pd.Series) -> pd.DataFrame:
@@ -380,9 +395,9 @@ def class_hits(
         return pd.DataFrame(found, columns=["left", "right"]).astype("int32")
 
     if repeats:  # two joins, so that pairs of inner places, whose number is the product of two lengths, are never made
-        joined = a.where("end_a").join(b, "hash").unionByName(a.where("not end_a").join(b.where("end_b"), "hash"))
+        joined = a.where("end_a").join(b, ["hash", "salt"]).unionByName(a.where("not end_a").join(b.where("end_b"), ["hash", "salt"]))
     else:
-        joined = a.join(b, "hash")
+        joined = a.join(b, ["hash", "salt"])
     met = joined.where("key_a <> key_b" if every else "key_a < key_b")
     grown = met.select("key_a", "key_b", "pos_a", "pos_b", extend("va.before", "va.around", "vb.before", "vb.around").alias("e"))
     return grown.select("key_a", "key_b", "pos_a", "pos_b", "e.left", "e.right").where(

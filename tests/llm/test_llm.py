@@ -378,10 +378,32 @@ def test_quotas():
     quotas = mixing.plan_quotas([("a", 0.5, 1, 1000), ("b", 0.5, 2, 100), ("c", 0.0, 5, 100), ("d", 0.0, 1, 0)], 10)
     by = {q.source: q for q in quotas}
     assert by["b"].short and by["b"].slots == 20 and not by["a"].short and by["a"].slots == 100
-    drawn = mixing.draw_shards(quotas, 16, 3)
-    for s in ("a", "b"):
-        runs_ = sorted((first, n) for _, source, first, n in drawn if source == s)
-        assert sum(n for _, n in runs_) == by[s].slots and all(a[0] + a[1] == b[0] for a, b in zip(runs_, runs_[1:], strict=False))
+
+
+@pytest.mark.parametrize("scale", [1, 10**12])
+def test_draws(scale):
+    """Totals are exact, slots follow each other, any task draws the same, counts look multinomial; at any size."""
+    slots, shards = np.array([5000, 300, 0, 7]) * scale, 16
+    drawn = list(mixing.draw_shards(slots, shards, 0, shards, 3))
+    assert [d[0] for d in drawn] == list(range(shards))
+    at = np.zeros(4, dtype=np.int64)
+    for _, first, n in drawn:
+        assert (first == at).all() and (n >= 0).all()
+        at += n
+    assert (at == slots).all()
+    for begin in range(0, shards, 5):
+        again = list(mixing.draw_shards(slots, shards, begin, min(shards, begin + 5), 3))
+        assert all(x[0] == y[0] and (x[1] == y[1]).all() and (x[2] == y[2]).all() for x, y in zip(again, drawn[begin:], strict=False))
+    counts = np.array([[n for _, _, n in mixing.draw_shards(np.array([1600]), shards, 0, shards, seed)] for seed in range(200)])[:, :, 0]
+    assert abs(counts.mean() - 100) < 1 and 80 < counts.var() < 110  # binomial: 1600 / 16 * 15 / 16
+    assert list(mixing.draw_shards(np.array([0]), 0, 0, 0, 1)) == []
+
+
+def test_too_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    targets = spark.createDataFrame([(s, 0.3, 1) for s in "abc"], "source string, target_share double, max_repeats int")
+    with pytest.raises(ValueError, match="more than 2"):
+        mixing.mix(docs(spark, [(1, "w", "a")]), targets)
 
 
 def test_mixing(spark):
@@ -418,7 +440,9 @@ def test_window_hashes():
 
 
 @pytest.mark.parametrize("filter_bytes", [spans.MAX_FILTER_BYTES, 0])
-def test_shared_spans_against_brute_force(spark, filter_bytes):
+@pytest.mark.parametrize("hot", [spans.HOT_PLACES, 3])
+def test_shared_spans_against_brute_force(spark, monkeypatch, filter_bytes, hot):
+    monkeypatch.setattr(spans, "HOT_PLACES", hot)
     rng = random.Random(3)
     noise = lambda n: "".join(rng.choice("abcdefgh ijk 中é😀") for _ in range(n))
     pool = [noise(rng.randint(40, 130)) for _ in range(8)] + ["ab" * 60, "x" * 150, "x" * 40 + noise(40), noise(20) + "y" * 80 + noise(10)]
