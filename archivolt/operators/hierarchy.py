@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from archivolt.runtime import cut, save
 
+#: rows of up to so many values (ids of some 40 bytes) are broadcast
+BROADCAST_VALUES = 300_000
 HEX64 = r"^(?:sha-?256)?[:=]?([0-9a-f]{64})$"
 
 
@@ -80,7 +82,10 @@ def build_hierarchy(links: DataFrame, with_paths: bool = False, marks: bool = Fa
     """
     extra = [*(["path"] if with_paths else []), *(["near"] if marks else [])]
     first = _start(links, with_paths, marks)
-    rounds, step = [save(first)], 1  # the tables of the rounds so far: rows that a round has reached, and those it has not
+    # what the rows not reached yet hold, in values; few enough are sent to all tasks instead of shuffling what is reached
+    values = F.sum(F.when(F.col("root").isNull(), 3 + (F.size("path") if with_paths else 0) + (2 if marks else 0)))
+    seen = Observation()
+    rounds, step = [save(first.observe(seen, values.alias("open")))], 1  # the tables of the rounds so far: rows that a round has reached, and those it has not
 
     def rows(of: list[str], met: bool) -> DataFrame:
         table = links.sparkSession.read.schema(first.schema).parquet(*of)
@@ -91,7 +96,9 @@ def build_hierarchy(links: DataFrame, with_paths: bool = False, marks: bool = Fa
         # a frontier that doubles may meet any reached node or a pending one, one of a single level only the level before
         frontier = rows(rounds, met=True).unionByName(pending) if doubling else rows(rounds[-1:], met=True)
         target = frontier.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr_t"), "root", "depth", *[F.col(c).alias(f"{c}_t") for c in extra])
-        moved = pending.select("node", "parent", "ptr", *extra).join(target, "ptr", "inner" if doubling else "left")
+        few = doubling and (seen.get["open"] or 0) <= BROADCAST_VALUES
+        mine = pending.select("node", "parent", "ptr", *extra)
+        moved = (F.broadcast(mine) if few else mine).join(target, "ptr", "inner" if doubling else "left")
         met = F.col("root").isNotNull()
         longer = F.concat("path_t", "path") if with_paths else None
         further = F.when(F.col("near_t").isNotNull(), F.struct((F.col("near_t.distance") + step).cast("int").alias("distance"), F.col("near_t.node").alias("node"))) if marks else None
@@ -101,7 +108,7 @@ def build_hierarchy(links: DataFrame, with_paths: bool = False, marks: bool = Fa
                 "node", "parent", F.when(~met, F.col("ptr_t") if doubling else F.col("ptr")).alias("ptr"), "root", (F.col("depth") + step).cast("int").alias("depth"),
                 *([(longer if doubling else F.when(met, longer).otherwise(F.col("path"))).alias("path")] if with_paths else []),
                 *([F.coalesce("near", further).alias("near")] if marks else []),
-            ).observe(seen, F.count("root").alias("met"))
+            ).observe(seen, F.count("root").alias("met"), values.alias("open"))
         ))
         if not seen.get["met"]:
             break

@@ -190,7 +190,9 @@ def brute_hierarchy(links):
     return out
 
 
-def test_hierarchy_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [h.BROADCAST_VALUES, 0])
+def test_hierarchy_against_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(h, "BROADCAST_VALUES", broadcast)
     rng = random.Random(1)
     links = [(f"n{i}", None if i % 17 == 0 else f"n{rng.randint(max(0, i - 3), i - 1)}") for i in range(1, 120)]
     links += [("x1", "x2"), ("x2", "x3"), ("x3", "x1"), ("x4", "x1"), ("self", "self"), ("below", "x4"), ("lost", "nowhere"), ("chain0", None)]
