@@ -102,6 +102,10 @@ def best_fit(
     return result
 
 
+#: stands for a null id between the JVM and pandas, where whole numbers have no null; the least number, so no id of use
+NO_ID = -(1 << 63)
+
+
 def pack_shard(pdf: pd.DataFrame, capacity: int, apart: Mapping[str, frozenset[str]]) -> pd.DataFrame:
     """Packs the items of one shard (doc_id, n_tokens, source, cluster, shard)."""
     shard = int(pdf["shard"].iloc[0])
@@ -158,8 +162,9 @@ def pack(
         F.coalesce(clean_source(F.col("source")), F.lit(UNKNOWN)).alias("source"),
         F.xxhash64(spaced).alias("cluster"),
         salt(F.col("doc_id"), shards).alias("shard"),
-    ).select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "n_tokens", "source", "cluster", "shard")
-    return items.groupBy("shard").applyInPandas(lambda pdf: pack_shard(pdf, capacity, keep_apart), RESULT)
+    ).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_tokens", "source", "cluster", "shard")
+    packed = items.groupBy("shard").applyInPandas(lambda pdf: pack_shard(pdf, capacity, keep_apart), RESULT)
+    return packed.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def fill_report(packed: DataFrame, capacity: int = 1024) -> DataFrame:

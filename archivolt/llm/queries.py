@@ -85,6 +85,12 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_chunks(table(spark, d, "chunks"), table(spark, d, "documents", busy=True))
 
 
+def p5_cover(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces of every oversized chunk cover of its document, and the rules they break, which must be none."""
+    documents = table(spark, d, "documents", busy=True)
+    return splitting.coverage(splitting.split_chunks(table(spark, d, "chunks"), documents), documents)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The documents that had to be split, from the packing."""
     packed = packing.pack(table(spark, d, "documents", busy=True))
@@ -96,6 +102,17 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack(table(spark, d, "documents", busy=True)))
 
 
+def p6_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens, documents and split documents of the packing, counted from its containers, and how many are over full."""
+    packed = packing.pack(table(spark, d, "documents", busy=True))
+    per = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    over = per.agg(F.count_if(F.col("n") > 1024).alias("n_over_full"))
+    docs = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max("is_split").alias("split"))
+    sizes = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"), F.count_if("split").alias("n_split"))
+    both = sizes.withColumn("one", F.lit(1)).join(over.withColumn("one", F.lit(1)), "one")
+    return both.select("n_docs", "n_tokens", "n_split", "n_over_full")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """The sources that cannot reach their share, from the report of the mix."""
     _, report = mixing.mix(table(spark, d, "documents", busy=True), table(spark, d, "mix_targets"))
@@ -146,8 +163,10 @@ QUERIES = {
     "p3_stretches": p3_stretches,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p5_cover": p5_cover,
     "p6_found": p6_found,
     "p6_fill": p6_fill,
+    "p6_sizes": p6_sizes,
     "p7_found": p7_found,
     "p7_report": p7_report,
     "p7_quotas": p7_quotas,
@@ -166,6 +185,22 @@ big AS (SELECT * FROM full_text WHERE length(text) > 600)
 SELECT doc_id, chunk_id,
   (list_max(list_transform(regexp_split_to_array(text, '[\s\x{00A0}\x{3000}\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\v.!?;。！？；]'), lambda x: length(x))) > 600)::INTEGER AS forced
 FROM big
+""",
+    "p5_cover": r"""
+WITH full_text AS (
+  SELECT DISTINCT c.doc_id, c.chunk_id, c.char_start, d.text AS doc_text,
+         coalesce(c.text, substring(d.text, (c.char_start + 1)::BIGINT, (c.char_end - c.char_start)::BIGINT)) AS text
+  FROM chunks c LEFT JOIN documents d USING (doc_id)),
+big AS (
+  SELECT doc_id, chunk_id, any_value(text) AS text, coalesce(max(char_start), any_value(strpos(doc_text, text) - 1))::INTEGER AS char_start
+  FROM full_text WHERE length(text) > 600 GROUP BY doc_id, chunk_id)
+SELECT doc_id, chunk_id, char_start, (char_start + length(text))::INTEGER AS char_end,
+       0::BIGINT AS too_long, 0::BIGINT AS gaps, 0::BIGINT AS wide_overlaps, 0::BIGINT AS wrong_texts
+FROM big
+""",
+    "p6_sizes": f"""
+WITH d AS (SELECT doc_id, {token_count_sql('text')} AS n FROM documents)
+SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_tokens, count(*) FILTER (n > 1024) AS n_split, 0::BIGINT AS n_over_full FROM d
 """,
     "p6_found": f"SELECT DISTINCT doc_id FROM documents WHERE {token_count_sql('text')} > 1024",
     "p7_found": rf"""

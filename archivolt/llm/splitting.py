@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PENALTY = {"paragraph": 0.0, "line": 0.02, "sentence": 0.05, "word": 0.35, "none": 1.5}
@@ -22,8 +22,6 @@ _COST = np.array([PENALTY[k] for k in KINDS])
 SENTENCE_ENDS = ".!?;。！？；"
 #: cost of a piece that overlaps the one before not at all, in proportion for less
 LOST_OVERLAP = 0.3
-#: cuts inside an unbroken run are tried at every so many characters
-GRID = 40
 #: up to so many boundaries the dynamic programme runs on full matrices
 DENSE = 600
 
@@ -79,9 +77,7 @@ def boundaries(cp: np.ndarray, max_chars: int) -> tuple[np.ndarray, np.ndarray]:
     pos = np.flatnonzero(ok)
     gaps = np.flatnonzero(np.diff(pos) > max_chars)
     if len(gaps):
-        step = max(1, min(GRID, max_chars))
-        extra = [np.arange(pos[g] + step, pos[g + 1], step) for g in gaps]
-        more = np.concatenate(extra)
+        more = np.concatenate([np.arange(pos[g] + 1, pos[g + 1]) for g in gaps])  # any place inside an unbroken run
         kind[more] = len(KINDS) - 1
         ok[more] = True
         pos = np.flatnonzero(ok)
@@ -175,7 +171,7 @@ def resolved_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """(doc_id, chunk_id, text, char_start): text and offset of every chunk, one row per key.
 
     A null text is cut out of the document by the offsets, which are then right; a null offset is found by looking for
-    the text in the document, and a given offset is trusted only if the text stands there. char_end is never read where
+    the text in the document (equal chunks in the order of their numbers), and a given offset is trusted only if the text stands there. char_end is never read where
     the text is known. Of repeated rows the most complete counts. A chunk without text and without offsets, or whose
     document is missing, keeps a null text; one whose text is not in its document keeps a null offset.
     """
@@ -186,11 +182,14 @@ def resolved_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
         .agg(F.max(F.struct(filled, "text", "char_start", "char_end")).alias("c"))
         .select("doc_id", "chunk_id", "c.text", F.col("c.char_start").cast("int").alias("char_start"), F.col("c.char_end").cast("int").alias("char_end"))
     )
+    # equal chunks of one document stand at its first, second, ... such place
+    turn = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("chunk_id"))
     docs = documents.select("doc_id", F.col("text").alias("doc_text"))
-    both = one.join(docs, "doc_id", "left")
+    both = one.withColumn("turn", F.when(F.col("text").isNotNull(), turn)).join(docs, "doc_id", "left")
     text = F.coalesce("text", F.expr("substring(doc_text, char_start + 1, char_end - char_start)"))
     stands = F.expr("substring(doc_text, char_start + 1, length(text)) = text")
-    found = F.expr("nullif(instr(doc_text, text), 0) - 1")
+    nth = F.expr("length(substring_index(doc_text, text, turn))")
+    found = F.when(nth < F.length("doc_text"), nth).otherwise(F.expr("nullif(instr(doc_text, text), 0) - 1"))
     start = F.when(F.col("text").isNull() | stands, F.col("char_start")).otherwise(found).cast("int")
     return both.select("doc_id", "chunk_id", text.alias("text"), start.alias("char_start"))
 
@@ -224,3 +223,20 @@ def split_chunks(
             yield out.astype({"char_start": "Int32", "char_end": "Int32"})
 
     return big.mapInPandas(run, PIECES)
+
+
+def coverage(pieces: DataFrame, documents: DataFrame, max_chars: int = 600, overlap: int = 80) -> DataFrame:
+    """(doc_id, chunk_id, char_start, char_end, too_long, gaps, wide_overlaps, wrong_texts): what the pieces of every chunk
+    cover of its document, and how many of them break a rule of splitting."""
+    docs = documents.select("doc_id", F.col("text").alias("doc_text"))
+    order = Window.partitionBy("doc_id", "chunk_id").orderBy("piece")
+    met = pieces.withColumn("before", F.lag("char_end").over(order)).join(docs, "doc_id", "left")
+    stands = F.coalesce(F.expr("substring(doc_text, char_start + 1, char_end - char_start) = text"), F.lit(False))
+    return met.groupBy("doc_id", "chunk_id").agg(
+        F.min("char_start").alias("char_start"),
+        F.max("char_end").alias("char_end"),
+        F.count_if(F.length("text") > max_chars).alias("too_long"),
+        F.count_if(F.col("char_start") > F.col("before")).alias("gaps"),
+        F.count_if(F.col("char_start") < F.col("before") - overlap).alias("wide_overlaps"),
+        F.count_if(~stands).alias("wrong_texts"),
+    )

@@ -295,10 +295,42 @@ def test_splitting(alphabet):
         assert pieces[0][0] == 0 and pieces[-1][1] == len(text)
         assert all(0 < e - s <= 600 for s, e, _ in pieces)
         assert all(a[1] - 80 <= b[0] <= a[1] < b[1] for a, b in zip(pieces, pieces[1:], strict=False))
-        dense, splitting.DENSE = splitting.DENSE, 0
-        banded = splitting.split_text(text)
-        splitting.DENSE = dense
-        assert len(banded) == len(pieces)
+
+
+def brute_split(text, max_chars, overlap):
+    """The least cost over all sequences of boundaries, by recursion over the definition."""
+    cp = splitting.code_points(text)
+    pos, kind = (v.tolist() for v in splitting.boundaries(cp, max_chars))
+    n = len(text)
+    pieces = max(1, -(-(n - overlap) // max(1, max_chars - overlap)))
+    even = min(max_chars, (n + (pieces - 1) * overlap) / pieces)
+    best = {0: 0.0}
+    for e in pos[1:]:
+        for p in [q for q in pos if q < e and q in best]:
+            start = 0 if p == 0 else min(q for q in pos if q >= p - overlap)
+            start = max(start, min(q for q in pos if q >= e - max_chars))
+            if start <= p:
+                lost = 0.0 if p == 0 else splitting.LOST_OVERLAP * (1 - (p - start) / max(1, overlap))
+                cut = 0.0 if e == n else splitting.PENALTY[splitting.KINDS[kind[pos.index(e)]]]
+                cost = best[p] + 1 + ((e - start - even) / max_chars) ** 2 + lost + cut
+                best[e] = min(best.get(e, np.inf), cost)
+    return best[n], even
+
+
+@pytest.mark.parametrize("dense", [splitting.DENSE, 0])
+def test_splitting_is_optimal(monkeypatch, dense):
+    monkeypatch.setattr(splitting, "DENSE", dense)
+    rng = random.Random(8)
+    for _ in range(30):
+        text = "".join(rng.choice("ab c.\n") for _ in range(rng.randint(41, 160))) + "z" * rng.choice([0, 50])
+        want, even = brute_split(text, 40, 8)
+        cost, before = 0.0, 0
+        for s, e, k in splitting.split_text(text, 40, 8):
+            lost = 0.0 if before == 0 else splitting.LOST_OVERLAP * (1 - (before - s) / 8)
+            cost += 1 + ((e - s - even) / 40) ** 2 + lost + (0.0 if e == len(text) else splitting.PENALTY[k])
+            before = e
+        assert abs(cost - want) < 1e-9, text
+    assert [(s, e) for s, e, _ in splitting.split_text("a" * 700)] == [(0, 390), (310, 700)]
 
 
 def test_splitting_prefers_strong_boundaries():
@@ -328,6 +360,12 @@ def test_splitting_table(spark):
         else:
             assert r.char_start is None
     assert splitting.split_chunks(chunks.where("false"), documents).count() == 0
+    good = splitting.coverage(splitting.split_chunks(chunks.where("doc_id = 1"), documents), documents).collect()
+    assert all((r.too_long, r.gaps, r.wide_overlaps, r.wrong_texts) == (0, 0, 0, 0) for r in good) and len(good) == 4
+    twice = spark.createDataFrame([(7, "q" + chunk + "--" + chunk)], "doc_id bigint, text string")
+    equal = spark.createDataFrame([(7, 0, chunk, None, None), (7, 1, chunk, None, None), (7, 2, chunk, None, None)], "doc_id bigint, chunk_id int, text string, char_start int, char_end int")
+    starts = {r.chunk_id: r.char_start for r in splitting.split_chunks(equal, twice).collect() if r.piece == 0}
+    assert starts == {0: 1, 1: len(chunk) + 3, 2: 1}
 
 
 # ---- 6: packing ----------------------------------------------------------------------------------------------------
@@ -346,12 +384,13 @@ def test_packing(spark):
     for r in out:
         bins.setdefault(r.container_id, []).append(r)
         total[r.doc_id] = total.get(r.doc_id, 0) + r.n_tokens
+        assert r.doc_id is None or r.doc_id >= 0
         assert r.is_split == (size.get(r.doc_id, 1) > 100)
     assert all(total[i] == size[i] for i in size if i is not None)
     for members in bins.values():
         assert sum(m.n_tokens for m in members) <= 100
         ids = [m.doc_id for m in members]
-        assert sum(1 for i in ids if 1000 <= i < 1040) <= 1
+        assert sum(1 for i in ids if i is not None and 1000 <= i < 1040) <= 1
         assert len({source.get(i, "a") == "?" for i in ids}) == 1
     assert packing.pack(df.where("false")).count() == 0
     report = packing.fill_report(packing.pack(docs(spark, [(i, "w " * (10 + i % 50), "a") for i in range(2000)]), capacity=100), 100).first()
