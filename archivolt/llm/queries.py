@@ -25,12 +25,14 @@ def _private_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Type and place of every personal datum in atoms and segments."""
-    return pii.find_all(_private_texts(spark, d)).select("item_kind", "item_id", "pii_type", "span_start").distinct()
+    texts = _private_texts(spark, d)
+    return pii.find_all(texts, pii.learn_names(texts)).select("item_kind", "item_id", "pii_type", "span_start").distinct()
 
 
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Atoms and segments with placeholders for their personal data, one row per item and text."""
-    return pii.redact_all(_private_texts(spark, d)).distinct()
+    texts = _private_texts(spark, d)
+    return pii.redact_all(texts, pii.learn_names(texts)).distinct()
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:

@@ -106,7 +106,7 @@ def test_pii_titled_names_outside_the_gazetteer(text, want):
 
 
 def test_pii_gazetteer_name_that_is_a_digit_word():
-    finder = pii.Finder(["anna"], ["acht"], [])
+    finder = pii.Finder(pii.Names(frozenset(["anna"]), frozenset(["acht"]), frozenset()))
     assert [s.kind for s in finder.find("Anna Acht said five five five oh one oh five")] == ["name", "phone"]
 
 
@@ -120,6 +120,39 @@ def test_pii_table(spark):
     assert pii.find_all(df.where("false")).count() == 0
 
 
+def test_learned_names(spark):
+    """Names in no list are learned from where they are announced and then found in running text, in any letter case."""
+    rng = random.Random(12)
+    syllables = ["ka", "lo", "mi", "ren", "tos", "vel", "dra", "nu", "shi", "por", "gal", "wen"]
+    word = lambda n: "".join(rng.choice(syllables) for _ in range(n)).capitalize()
+    given, family = [word(2) for _ in range(25)], [f"{rng.choice(['', '', 'van '])}{word(3)}" for _ in range(25)]
+    assert not {g.lower() for g in given} & pii.COMMON.given
+    cues = ["Regards, {n}", "the letter was signed by {n} today", "according to {n}, it was blank", "Dr. {n} kept it", "Cordialement, {n}", "wir sprachen mit {n} darüber", "you can reach {n} by post"]
+    things = ["according to The Quillmere Trust it was", "we spoke with Harrow Lantern Archive", "said Larkspur Row", "reach Copper Mill Lane", "and Harbour Light, according to Harbour Light"]
+    texts = [rng.choice(cues).format(n=f"{rng.choice(given)} {rng.choice(family)}") for _ in range(600)] + things * 20 + [None, ""]
+    names = pii.learn_names(spark.createDataFrame([(t, "x") for t in texts], "text string, item_id string"))
+    assert not {"quillmere", "harrow", "lantern", "larkspur", "harbour"} & (names.given | names.family)
+    finder, hit, held = pii.Finder(names), 0, 400
+    for i in range(held):
+        name = f"{rng.choice(given)} {rng.choice(family)}"
+        text = f"then {name.lower() if i % 3 == 0 else name.upper() if i % 3 == 1 else name} read the pages aloud"
+        hit += [(s.kind, s.start, s.end) for s in finder.find(text)] == [("name", 5, 5 + len(name))]
+    assert hit / held >= 0.9, hit
+    assert pii.default_finder().find("then kalo vanmirento read the pages") == []
+    assert pii.learn_names(spark.createDataFrame([], "text string")) == pii.COMMON
+
+
+def test_long_spoken_address():
+    local = " dot ".join(["ann", "bea", "cleo", "dora", "edith", "flora", "greta", "hanna", "ida", "jana"])
+    text = f"reach me at {local} at mail dot host dot example after six"
+    assert [(s.kind, text[s.start : s.end]) for s in pii.default_finder().find(text)] == [("email", f"{local} at mail dot host dot example")]
+
+
+def test_cue_behind_a_number():
+    text = "We note X0966123 as the identity number. We note X0966123 as the shelf."
+    assert [(s.kind, s.start) for s in pii.default_finder().find(text)] == [("id_number", 8)]
+
+
 # ---- 2: abuse ------------------------------------------------------------------------------------------------------
 
 def labelled(d):
