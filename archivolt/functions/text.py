@@ -3,10 +3,10 @@ Unicode compatibility step, which is only called for text that is not ASCII."""
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,9 +33,9 @@ STRIP = r"[\s\u001c-\u001f\u0085   -     　]+"
 _ANY_RULE = "(?U)" + "|".join(f"(?:{p.replace('*://', '*+://').replace(']+@[A-Z', ']++@[A-Z')})" for _, p, _ in REDACTION_RULES)
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _nfkc(text: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(text, form="NFKC")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

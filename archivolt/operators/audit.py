@@ -137,6 +137,14 @@ def append(log: DataFrame, batch: DataFrame) -> DataFrame:
     return batch.dropDuplicates(["event_id"]).join(log.select("event_id"), "event_id", "left_anti")
 
 
+def refused(log: DataFrame, batch: DataFrame) -> DataFrame:
+    """(event_id, reason) of the rows of a batch that must not be appended: null, known to the log, or repeated."""
+    n = batch.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+    known = log.select("event_id").distinct().withColumn("known", F.lit(True))
+    reason = F.when(F.col("event_id").isNull(), "no_id").when(F.col("known"), "known").when(F.col("n") > 1, "repeated")
+    return n.join(known, "event_id", "left").select("event_id", reason.alias("reason")).where("reason is not null")
+
+
 def combine_hashes(files: DataFrame, group: str, position: str, digest: str) -> DataFrame:
     """(group, n_inputs, input_hash): sha256 of the line-joined digests of a group in order of position."""
     rows = F.array_sort(F.collect_list(F.struct(position, digest)))

@@ -53,12 +53,16 @@ def roll_up(df: DataFrame, group: str, part: str, size: str) -> DataFrame:
 
 
 def priced(df: DataFrame, prices: DataFrame, key: str, default: str) -> DataFrame:
-    """Left join to a small table by key; keys that it lacks take the row of ``default``."""
-    fallback = prices.where(F.col(key) == default).drop(key)
+    """Left join to a table by key; keys that it lacks, and null keys, take the row of ``default``.
+
+    A key that stands twice counts once, by its least row; without a row of ``default`` the values are null. A value that
+    is null in a key's own row stays null.
+    """
     values = [c for c in prices.columns if c != key]
-    known = df.join(F.broadcast(prices), key, "left")
-    padded = known.join(F.broadcast(fallback.select(*[F.col(c).alias(f"_{c}") for c in values])))
-    return padded.select(*df.columns, *[F.coalesce(c, f"_{c}").alias(c) for c in values])
+    one = prices.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*values)).alias("_own"))
+    fallback = one.where(F.col(key) == default).agg(F.min("_own")).scalar()  # one row whatever the table holds
+    joined = df.join(one, key, "left").withColumn("_row", F.coalesce("_own", fallback))
+    return joined.select(*df.columns, *[F.col(f"_row.{c}").alias(c) for c in values])
 
 
 def ancestor_dirs(path: Column) -> Column:

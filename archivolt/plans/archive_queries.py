@@ -236,7 +236,8 @@ first AS (SELECT doc_id, para, key, arg_min(label, i) AS label, min(i) AS i FROM
 @query(
     f"""
 WITH {_MENTIONS},
-n AS (SELECT doc_id, key, any_value(label) AS label, count(*) AS mentions FROM first GROUP BY doc_id, key)
+forms AS (SELECT doc_id, key, label, count(*) AS n, min(struct_pack(para := para, i := i)) AS seen FROM first GROUP BY doc_id, key, label),
+n AS (SELECT doc_id, key, arg_min(label, struct_pack(n := -n, seen := seen, label := label)) AS label, sum(n)::BIGINT AS mentions FROM forms GROUP BY doc_id, key)
 SELECT doc_id, key, label, mentions, mentions / max(mentions) OVER (PARTITION BY doc_id) AS salience FROM n
 """
 )
@@ -360,7 +361,17 @@ def audit_chains(spark: SparkSession, d: str) -> DataFrame:
     return audit.chain_report(table(spark, d, "audit_events"))
 
 
-@query()
+@query(
+    rf"""
+WITH RECURSIVE {_FIRST_EVENTS},
+lined AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY event_time, event_id) AS line FROM first),
+chain AS (
+  SELECT event_id AS ev, record_id AS rec, line AS k, NULL::VARCHAR AS p, 'sha256:' || sha256({_dump_sql("NULL")}) AS h FROM lined WHERE line = 1
+  UNION ALL
+  SELECT event_id, record_id, line, h, 'sha256:' || sha256({_dump_sql("h")}) FROM chain JOIN lined ON record_id IS NOT DISTINCT FROM rec AND line = k + 1)
+SELECT ev AS event_id, rec AS record_id, k::INTEGER AS line, p AS prev_hash, h AS hash FROM chain
+"""
+)
 def audit_reemitted(spark: SparkSession, d: str) -> DataFrame:
     """The log emitted anew as one chain per record."""
     return audit.emit_chain(table(spark, d, "audit_events"))

@@ -57,9 +57,8 @@ def knowledge_graph(df: DataFrame, min_mentions: int = 1) -> tuple[DataFrame, Da
 
 
 def moderate(df: DataFrame, rules: Sequence[moderation.Rule]) -> DataFrame:
-    """Outcome per document of (doc_id, text)."""
-    base = df.select("doc_id", "text")
-    return moderation.outcomes(base, moderation.flags(base, rules), "doc_id")
+    """Outcome of every row of (doc_id, text)."""
+    return moderation.judge(df.select("doc_id", "text"), rules)
 
 
 REGISTRY = {

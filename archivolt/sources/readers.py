@@ -15,7 +15,9 @@ from archivolt.operators.moderation import Rule
 
 SEGMENTS = "segments array<struct<text string>>"
 # fixed values: file types that do not belong into an archive's repository
-FORBIDDEN = ".wav .mp3 .flac .m4a .aac .ogg .mp4 .mov .mkv .webm .avi .png .jpg .jpeg .tif .tiff .psd .zip .7z .rar".split()
+FORBIDDEN = (
+    ".mp4", ".mov", ".mkv", ".wav", ".flac", ".mp3", ".aac", ".png", ".jpg", ".jpeg", ".webp", ".zip", ".7z", ".tar", ".gz", ".safetensors", ".onnx", ".pt", ".pth", ".gguf",
+)
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -48,13 +50,14 @@ def read_manifests(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
 
 
 def read_pointers(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """All ``*.pointer.json`` below a folder."""
+    """All ``*.pointer.json`` below a folder, but for those in a ``.git`` folder."""
     return (
         spark.read.schema(schema)
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.pointer.json")
         .json(root, multiLine=True)
         .select("*", F.col("_metadata.file_path").alias("path"))
+        .where(~F.contains("path", F.lit("/.git/")))
     )
 
 
@@ -103,7 +106,7 @@ def forbidden_files(paths: DataFrame, allowed: tuple[str, ...] = ("docs/", "asse
     ok = F.lit(False)
     for prefix in allowed:
         ok = ok | F.col("path").startswith(prefix)
-    return paths.where(ext.isin(FORBIDDEN) & ~ok)
+    return paths.where(ext.isin(list(FORBIDDEN)) & ~ok)
 
 
 def missing_keys(documents: DataFrame, required: tuple[str, ...] = ("$schema", "$id", "title", "description")) -> DataFrame:

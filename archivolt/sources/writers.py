@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archivolt.functions.text import html_escape
-from archivolt.operators.audit import append
+from archivolt.operators.audit import refused
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
@@ -29,11 +29,14 @@ def html_row(columns: list[Column]) -> Column:
 
 
 def append_events(log: DataFrame, batch: DataFrame, path: str) -> None:
-    """Appends the new events of a batch to a log in Parquet; known event ids are refused."""
-    append(log, batch).write.mode("append").parquet(path)
+    """Appends a batch of events to a log in Parquet; a batch with null, known or repeated event ids is refused as a whole."""
+    bad = refused(log, batch).limit(5).collect()
+    if bad:
+        raise ValueError("refused: " + ", ".join(f"{r.event_id} ({r.reason})" for r in bad))
+    batch.write.mode("append").parquet(path)
 
 
-def build_archives(members: DataFrame, first: str = "life-package.json") -> DataFrame:
+def build_archives(members: DataFrame, first: str) -> DataFrame:
     """(package, archive) of (package, path, content): the descriptor first, the others by path, fixed times and modes.
 
     An archive is one value, so a package must fit a row.

@@ -19,7 +19,7 @@ def test_names():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if not n.startswith("p")))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for p in os.listdir(SF):
@@ -64,3 +64,23 @@ def test_descendants_equal_sql(spark):
     want = con.execute(entry.oracle_sql()["p4_pairs"]).fetchall()
     got = [(r.ancestor, r.descendant, r.distance) for r in entry.queries()["p4_pairs"](spark, SF).collect()]
     assert len(got) > 0 and sorted(got) == sorted(want)
+
+
+def test_only_a_missing_subpackage_is_left_out(monkeypatch):
+    import builtins
+
+    real = builtins.__import__
+
+    def without(missing):
+        def load(name, *args, **kwargs):
+            if name == "archivolt.llm":
+                raise ModuleNotFoundError(f"No module named {missing!r}", name=missing)
+            return real(name, *args, **kwargs)
+
+        return load
+
+    monkeypatch.setattr(builtins, "__import__", without("archivolt.llm"))
+    assert "p4_found" in entry.queries() and "p1_found" not in entry.queries()
+    monkeypatch.setattr(builtins, "__import__", without("ahocorasick"))
+    with pytest.raises(ModuleNotFoundError):
+        entry.queries()

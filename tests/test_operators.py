@@ -231,3 +231,31 @@ def test_parent_links_spellings_nulls_and_repeats(spark):
     ]
     df = spark.createDataFrame(rows, "event_id string, record_id string, hash string, prev_hash string, ingested_at string, node int")
     assert {r.node: r.parent for r in h.parent_links(df).collect()} == {"e1": None, "e2": "e1", "e3": None, "e4": None, "e5": None}
+
+
+def test_priced_defaults(spark):
+    df = spark.createDataFrame([("a", 1), ("zz", 2), (None, 3)], "k string, n int")
+    prices = spark.createDataFrame([("a", 1.0, None), ("std", 9.0, "x"), ("std", 9.5, "y"), ("a", 1.0, None)], "k string, price double, unit string")
+    got = {r.n: (r.price, r.unit) for r in relations.priced(df, prices, "k", "std").collect()}
+    assert got == {1: (1.0, None), 2: (9.0, "x"), 3: (9.0, "x")}
+    without = relations.priced(df, prices.where("k = 'a'"), "k", "std").collect()  # no row of the default: nothing is lost
+    assert {r.n: r.price for r in without} == {1: 1.0, 2: None, 3: None}
+    assert relations.priced(df, prices.where("false"), "k", "std").count() == 3
+
+
+def test_moderation_keeps_references_apart(spark):
+    rules = (moderation.Rule("group", (r"(foo)",), "c", "low"), moderation.Rule("echo", (r"\b\w(\w)\1\w\b",), "c", "high"))
+    df = spark.createDataFrame([(1, "noon"), (2, "foo"), (3, "none"), (4, None), (5, "NOON foo")], "doc_id int, text string")
+    found = moderation.flags(df, rules)
+    assert sorted((r.doc_id, r.rule) for r in found.collect()) == [(1, "echo"), (2, "group"), (5, "echo"), (5, "group")]
+    want = {r.doc_id: (r.outcome, r.n_flags) for r in moderation.outcomes(df, found, "doc_id").collect()}
+    assert {r.doc_id: (r.outcome, r.n_flags) for r in moderation.judge(df, rules).collect()} == want
+    assert [r.name for r in moderation.merge(rules, rules[:1])] == ["group", "echo", "group"]
+    with pytest.raises(ValueError):
+        moderation.merge()
+
+
+def test_fully_tainted(spark):
+    members = spark.createDataFrame([("r", "a"), ("r", "b"), ("s", "a"), ("s", "c")], "rec string, node string")
+    found = spark.createDataFrame([("a", "x", 1), ("b", "x", 2)], "node string, origin string, distance int")
+    assert [r.rec for r in cascade.fully_tainted(members, found, "rec").collect()] == ["r"]

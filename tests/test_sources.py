@@ -27,7 +27,7 @@ def test_archives_round_trip(spark, tmp_path):
     members = spark.createDataFrame(
         [("p", "b.txt", bytearray(b"bb")), ("p", "life-package.json", bytearray(b"{}")), ("p", "a/c.txt", bytearray(b""))], "package string, path string, content binary"
     )
-    first, again = (bytes(writers.build_archives(members).first().archive) for _ in range(2))
+    first, again = (bytes(writers.build_archives(members, "life-package.json").first().archive) for _ in range(2))
     assert first == again
     assert zipfile.ZipFile(io.BytesIO(first)).namelist() == ["life-package.json", "a/c.txt", "b.txt"]
     (tmp_path / "x.life").write_bytes(first)
@@ -59,7 +59,17 @@ def test_csv_html_and_append(spark, tmp_path):
     log = df.select("event_id")
     writers.append_events(log.where("false"), log, str(tmp_path / "log"))
     stored = spark.read.parquet(str(tmp_path / "log"))
-    writers.append_events(stored, log.union(spark.createDataFrame([("e2",)], "event_id string")), str(tmp_path / "log"))
+    more = spark.createDataFrame([("e2",)], "event_id string")
+    for bad in (log.union(more), more.union(more), spark.createDataFrame([(None,)], "event_id string")):
+        with pytest.raises(ValueError, match="refused"):
+            writers.append_events(stored, bad, str(tmp_path / "log"))
+    writers.append_events(stored, more, str(tmp_path / "log"))
     assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "log")).collect()) == ["e1", "e2"]
     writers.write_json_lines(df, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 1
+
+
+def test_forbidden_files(spark):
+    paths = ["a/b.WEBP", "m.safetensors", "x.tar", "y.gz", "docs/z.png", "assets/public/v.mp4", "assets/v.mp4", "ok.txt", "noext"]
+    got = readers.forbidden_files(spark.createDataFrame([(p,) for p in paths], "path string"))
+    assert sorted(r.path for r in got.collect()) == ["a/b.WEBP", "assets/v.mp4", "m.safetensors", "x.tar", "y.gz"]
