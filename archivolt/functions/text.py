@@ -3,10 +3,10 @@ Unicode compatibility step, which is only called for text that is not ASCII."""
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +35,8 @@ _ANY_RULE = "(?U)" + "|".join(f"(?:{p.replace('*://', '*+://').replace(']+@[A-Z'
 
 @F.arrow_udf(T.StringType())
 def _nfkc(text: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(text, form="NFKC")
+    # Arrow's own kernel leaves decomposed letters apart, so the standard library does it; most texts are normal already
+    return pa.array([t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], type=pa.string())
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
