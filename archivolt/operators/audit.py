@@ -143,12 +143,3 @@ def refused(log: DataFrame, batch: DataFrame) -> DataFrame:
     known = log.select("event_id").distinct().withColumn("known", F.lit(True))
     reason = F.when(F.col("event_id").isNull(), "no_id").when(F.col("known"), "known").when(F.col("n") > 1, "repeated")
     return n.join(known, "event_id", "left").select("event_id", reason.alias("reason")).where("reason is not null")
-
-
-def combine_hashes(files: DataFrame, group: str, position: str, digest: str) -> DataFrame:
-    """(group, n_inputs, input_hash): sha256 of the line-joined digests of a group in order of position."""
-    rows = F.array_sort(F.collect_list(F.struct(position, digest)))
-    joined = F.array_join(F.transform(rows, lambda r: F.concat(F.lit("sha256:"), bare_sha256(r[digest]))), "\n")
-    return files.where(F.col(digest).isNotNull()).groupBy(group).agg(
-        F.count(F.lit(1)).alias("n_inputs"), F.concat(F.lit("sha256:"), F.sha2(joined, 256)).alias("input_hash")
-    )

@@ -27,6 +27,34 @@ class Rule:
     def __post_init__(self) -> None:
         if not self.name or not self.patterns or self.severity not in SEVERITIES:
             raise ValueError(f"bad rule {self.name!r}")
+        if not all(self.patterns):
+            raise ValueError(f"rule {self.name!r} has an empty pattern")
+
+
+# fixed values: the built-in policy, small and precise
+BUILTIN = (
+    Rule("self_harm_intent_en", (r"\b(?:kill|hurt|harm|cut)\s+myself\b", r"\bend\s+my\s+life\b", r"\bsuicide\s+(?:plan|note|method)\b"), "self_harm", "high"),
+    Rule("violence_threat_en", (r"\b(?:kill|murder|stab|shoot)\s+(?:you|him|her|them)\b", r"\bI\s+will\s+(?:kill|murder|hurt)\s+\w+"), "violence", "high"),
+    Rule("pii_email_residual", (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",), "pii_residual", "medium"),
+    Rule("pii_phone_cn_residual", (r"(?<!\d)1[3-9]\d{9}(?!\d)",), "pii_residual", "medium"),
+    Rule("profanity_basic_en", (r"\bfuck(?:ing|ed)?\b", r"\bshit\b", r"\bbitch\b"), "profanity", "low"),
+)
+
+
+@dataclass(frozen=True)
+class Policy:
+    """Named rules."""
+
+    name: str
+    version: str
+    rules: tuple[Rule, ...]
+
+
+def select_policy(*policies: Policy) -> Policy:
+    """One policy as it is, or several as one: their rules in order, named ``name@version`` of each joined by ``+``."""
+    if len(policies) == 1:
+        return policies[0]
+    return Policy("+".join(f"{p.name}@{p.version}" for p in policies), "merged", merge(*(p.rules for p in policies)))
 
 
 def policy_from_table(rules: DataFrame) -> tuple[Rule, ...]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivolt.functions import text as tx
-from archivolt.operators import audit, cascade, graph, moderation, relations, segments
+from archivolt.operators import audit, cascade, graph, lineage, moderation, relations, segments
 from archivolt.operators.hierarchy import parent_links
 from archivolt.operators.neighbours import neighbours
 from archivolt.operators.vectors import hash_embedding
@@ -386,7 +386,7 @@ FROM transcripts WHERE audio_sha256 IS NOT NULL GROUP BY record_id
 )
 def lineage_input_hashes(spark: SparkSession, d: str) -> DataFrame:
     """One digest for all audio files of a record."""
-    return audit.combine_hashes(table(spark, d, "transcripts"), "record_id", "transcript_id", "audio_sha256")
+    return lineage.combine_hashes(table(spark, d, "transcripts"), "record_id", "transcript_id", "audio_sha256")
 
 
 _TREE = """

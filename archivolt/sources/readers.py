@@ -7,11 +7,11 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivolt.functions.text import strip
-from archivolt.operators.moderation import Rule
+from archivolt.operators.moderation import Policy, Rule
 
 SEGMENTS = "segments array<struct<text string>>"
 # fixed values: file types that do not belong into an archive's repository
@@ -67,8 +67,17 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("sha256"))
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(package, error, path, size, sha256, content): the members of zip archives; one row with an error for a bad archive."""
+def read_archives(spark: SparkSession, path: str, descriptor: str | None = None) -> DataFrame:
+    """The members of the zip archives of a folder or glob, see ``archive_members``."""
+    return archive_members(spark.read.format("binaryFile").load(path).select(F.col("path").alias("package"), "content"), descriptor)
+
+
+def archive_members(archives: DataFrame, descriptor: str | None = None) -> DataFrame:
+    """(package, error, path, size, sha256, content): the members of zip archives (package, content).
+
+    A bad archive is one row with an error and nulls: bad_zip; unsafe_member_name, its path listing the first five of them;
+    missing_descriptor if one is named and not there. A null content is a missing archive. An archive must fit a row.
+    """
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
@@ -77,27 +86,79 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
         for pdf in batches:
             rows = []
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+            for name, content in zip(pdf["package"], pdf["content"], strict=True):
+                if content is None:
+                    rows.append((name, "missing", None, None, None, None))
+                    continue
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for i in z.infolist():
-                            if not i.is_dir():
+                        files = [i for i in z.infolist() if not i.is_dir()]
+                        unsafe = sorted(i.filename for i in files if not _is_safe(i.filename))
+                        if unsafe:
+                            rows.append((name, "unsafe_member_name", ", ".join(unsafe[:5]), None, None, None))
+                        elif descriptor is not None and descriptor not in z.namelist():
+                            rows.append((name, "missing_descriptor", None, None, None, None))
+                        else:
+                            for i in files:
                                 data = z.read(i)
                                 rows.append((name, None, i.filename, len(data), "sha256:" + hashlib.sha256(data).hexdigest(), data))
                 except zipfile.BadZipFile:
                     rows.append((name, "bad_zip", None, None, None, None))
             yield pd.DataFrame(rows, columns=["package", "error", "path", "size", "sha256", "content"]).astype({"size": "Int64"})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(members, "package string, error string, path string, size bigint, sha256 string, content binary")
+    return archives.select("package", "content").mapInPandas(members, "package string, error string, path string, size bigint, sha256 string, content binary")
 
 
-def read_policy(path: str) -> tuple[Rule, ...]:
-    """The rules of a policy file in JSON."""
-    doc = json.loads(Path(path).read_text(encoding="utf-8"))
-    if "rules" not in doc:
+def _is_safe(name: str) -> bool:
+    return bool(name) and "\\" not in name and not {"", ".", ".."} & set(name.split("/"))
+
+
+def descriptor_status(content: Column) -> Column:
+    """What is wrong with the bytes of a JSON descriptor, null if nothing: missing, not_utf8, not_json or not_object."""
+    text = F.try_validate_utf8(content.cast("string"))
+    parsed = F.try_parse_json(text)
+    return (
+        F.when(content.isNull(), "missing").when(text.isNull(), "not_utf8").when(parsed.isNull(), "not_json")
+        .when(~F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), "not_object")
+    )
+
+
+def entry_faults(text: Column, field: str = "contents") -> Column:
+    """The first thing wrong with the list of entries in a JSON descriptor, null if nothing: not_array, entry_not_object,
+    entry_path_missing, entry_sha_missing or entry_size_missing; the earliest entry counts. A missing list is an empty one."""
+    listed = F.try_variant_get(F.try_parse_json(text), f"$.{field}", "variant")
+    kind = F.schema_of_variant(listed)
+    items = F.try_variant_get(listed, "$", "array<variant>")
+
+    def fault(e: Column) -> Column:
+        is_kind = lambda name, kinds: F.schema_of_variant(F.try_variant_get(e, f"$.{name}", "variant")).isin(kinds)
+        return (
+            F.when(~F.startswith(F.schema_of_variant(e), F.lit("OBJECT")), "entry_not_object")
+            .when(~F.coalesce(is_kind("path", ["STRING"]), F.lit(False)), "entry_path_missing")
+            .when(~F.coalesce(is_kind("sha256", ["STRING"]), F.lit(False)), "entry_sha_missing")
+            .when(~F.coalesce(is_kind("size", ["BIGINT"]), F.lit(False)), "entry_size_missing")
+        )
+
+    first = F.get(F.filter(F.transform(items, fault), lambda x: x.isNotNull()), F.lit(0))
+    return F.when(listed.isNotNull(), F.when(~F.startswith(kind, F.lit("ARRAY")), F.lit("not_array")).otherwise(first))
+
+
+def read_policy(path: str) -> Policy:
+    """A policy file in JSON, or in YAML where PyYAML is there. Its name defaults to the file's, its version to ``user-supplied``."""
+    file = Path(path)
+    raw = file.read_text(encoding="utf-8")
+    if file.suffix.lower() in (".yaml", ".yml"):
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError(f"{file.name}: YAML needs PyYAML; JSON does not") from e
+        doc = yaml.safe_load(raw)
+    else:
+        doc = json.loads(raw)
+    if not isinstance(doc, dict) or "rules" not in doc:
         raise ValueError("policy without rules")
-    return tuple(Rule(r["name"], tuple(r["patterns"]), r.get("category", "custom"), r.get("severity", "medium")) for r in doc["rules"])
+    rules = tuple(Rule(r["name"], tuple(r["patterns"]), r.get("category", "custom"), r.get("severity", "medium")) for r in doc["rules"])
+    return Policy(doc.get("name", file.stem), str(doc.get("version", "user-supplied")), rules)
 
 
 def forbidden_files(paths: DataFrame, allowed: tuple[str, ...] = ("docs/", "assets/public/")) -> DataFrame:

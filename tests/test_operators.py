@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from archivolt.operators import audit, cascade, graph, moderation, relations, segments
+from archivolt.operators import audit, cascade, graph, lineage, moderation, relations, segments, timeline
 from archivolt.operators import hierarchy as h
 from archivolt.operators.neighbours import neighbours
 from archivolt.operators.vectors import hash_embedding
@@ -140,7 +140,7 @@ def test_audit_hashes_chain_and_emission(spark):
 
 def test_combine_hashes(spark):
     df = spark.createDataFrame([("r", 2, "sha256:bb"), ("r", 1, "aa"), ("s", 1, None)], "g string, p int, d string")
-    rows = audit.combine_hashes(df, "g", "p", "d").collect()
+    rows = lineage.combine_hashes(df, "g", "p", "d").collect()
     assert [(r.g, r.n_inputs, r.input_hash) for r in rows] == [("r", 2, "sha256:" + hashlib.sha256(b"sha256:aa\nsha256:bb").hexdigest())]
 
 
@@ -259,3 +259,55 @@ def test_fully_tainted(spark):
     members = spark.createDataFrame([("r", "a"), ("r", "b"), ("s", "a"), ("s", "c")], "rec string, node string")
     found = spark.createDataFrame([("a", "x", 1), ("b", "x", 2)], "node string, origin string, distance int")
     assert [r.rec for r in cascade.fully_tainted(members, found, "rec").collect()] == ["r"]
+
+
+def test_fold_digest(spark):
+    rows = [("r", 2, "b"), ("r", 1, "a"), ("r", 3, None), ("s", 1, "é"), (None, 1, "x"), ("t", 1, None)] + [("big", i, "y" * 50) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, p int, v string")
+    got = {r.g: (r.n, r.byte_size, r.digest) for r in lineage.fold_digest(df, "g", "p", "v", after="\n").collect()}
+    sha = lambda s: "sha256:" + hashlib.sha256(s.encode()).hexdigest()
+    big = "\n".join(["y" * 50] * 3000) + "\n"
+    assert got == {"r": (2, 4, sha("a\nb\n")), "s": (1, 3, sha("é\n")), None: (1, 2, sha("x\n")), "big": (3000, len(big), sha(big))}
+    assert lineage.fold_digest(df.where("false"), "g", "p", "v").count() == 0
+
+
+def test_descriptors_and_events(spark):
+    inputs = spark.createDataFrame([("r", 1, "sha256:aa")], "record_id string, position int, digest string")
+    payload = spark.createDataFrame([("r", 1, "{}"), ("s", 1, "{}")], "record_id string, position int, line string")
+    made = lineage.descriptors(inputs, payload, "record_id", "atoms", "1")
+    faults = {r.record_id: r.f for r in made.select("record_id", lineage.descriptor_faults(F.col("output_path"), F.col("pipeline"), F.col("n_inputs")).alias("f")).collect()}
+    assert faults == {"r": None, "s": "no_inputs"}
+    assert made.select(lineage.descriptor_faults(F.lit("other/x"), F.col("pipeline"), F.lit(1)).alias("f")).first().f == "path"
+    log = spark.createDataFrame([("e1", "r", "ab" * 32, 1), ("e2", "r", "SHA256:" + "CD" * 32, 2), ("e2", "r", "ef" * 32, 3)], "event_id string, record_id string, hash string, ingested_at int")
+    events = {r.record_id: r for r in lineage.audit_descriptors(made, log, "2026-01-01T00:00:00Z").collect()}
+    assert (events["r"].prev_hash, events["r"].audit_event_ref) == ("sha256:" + "cd" * 32, "audit/events.jsonl#L3")
+    assert (events["s"].prev_hash, events["s"].audit_event_ref) == (None, "audit/events.jsonl#L1")
+    body = {
+        "actor_id": "pipelines.atoms", "actor_role": "system", "event_id": events["r"].event_id, "event_type": "derived_asset_emitted", "evidence_ref": "derived/atoms/r.jsonl.descriptor.json",
+        "metadata": {"descriptor_path": "derived/atoms/r.jsonl.descriptor.json", "output_path": "derived/atoms/r.jsonl", "outputs_hash": events["r"].outputs_hash, "pipeline": "atoms", "pipeline_version": "1"},
+        "prev_hash": "sha256:" + "cd" * 32, "reason": "derived asset emitted by pipeline atoms", "record_id": "r", "timestamp": "2026-01-01T00:00:00Z",
+    }
+    assert events["r"].hash == "sha256:" + hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def test_timeline(spark):
+    import datetime as dt
+
+    t = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    rows = [("k", "a", t(0), "open"), ("k", "b", t(3), "close"), ("k", "c", t(20), "open"), ("k", "d", t(27), "close"), ("k", "e", t(29), "open"), (None, "f", t(0), "open"), ("k", "g", None, "open")]
+    df = spark.createDataFrame(rows, "key string, id string, ts timestamp, kind string")
+    got = timeline.dispute_windows(df, "key", "id", "ts", F.col("kind") == "open", F.col("kind") == "close", F.lit(t(31)))
+    assert {r.id: r.status for r in got.collect()} == {"a": "cancelled", "c": "expired", "e": "open"}
+    moved = timeline.changes(df.where("key is not null and ts is not null"), "key", ["ts"], "kind").collect()
+    assert [(r.before, r.after) for r in sorted(moved, key=lambda r: r.ts)] == [(None, "open"), ("open", "close"), ("close", "open"), ("open", "close"), ("close", "open")]
+    report = {r.kind: (r.n, r.n_failed, r.passed) for r in timeline.run_report(df.withColumn("ok", F.when(F.col("kind") == "open", True)), "kind", "ok").collect()}
+    assert report == {"open": (5, 0, True), "close": (2, 2, False), None: (7, 2, False)}
+
+
+def test_sentences(spark):
+    df = spark.createDataFrame([(1, "One. Two!  Three\n\nFour 3.5 x?"), (2, "你好。好！"), (3, None), (4, " \n "), (5, "a" * 5000)], "id int, text string")
+    got = {}
+    for r in segments.sentence_atoms(df).collect():
+        got.setdefault(r.id, []).append((r.sentence, r.text, r.is_cut))
+    assert [x for _, x, _ in sorted(got[1])] == ["One.", "Two!", "Three", "Four 3.5 x?"] and [x for _, x, _ in sorted(got[2])] == ["你好。", "好！"]
+    assert set(got) == {1, 2, 5} and len(got[5][0][1]) == 4096 and got[5][0][2]

@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from archivolt.operators import moderation
 from archivolt.sources import readers, writers
 
 
@@ -41,7 +42,10 @@ def test_archives_round_trip(spark, tmp_path):
 
 def test_policy_forbidden_files_and_keys(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps({"rules": [{"name": "n", "patterns": ["x"]}]}))
-    assert readers.read_policy(str(tmp_path / "p.json"))[0].severity == "medium"
+    policy = readers.read_policy(str(tmp_path / "p.json"))
+    assert (policy.name, policy.version, policy.rules[0].severity) == ("p", "user-supplied", "medium")
+    both = moderation.select_policy(policy, moderation.Policy("b", "2", moderation.BUILTIN))
+    assert both.name == "p@user-supplied+b@2" and len(both.rules) == 6
     (tmp_path / "q.json").write_text("{}")
     with pytest.raises(ValueError):
         readers.read_policy(str(tmp_path / "q.json"))
@@ -73,3 +77,28 @@ def test_forbidden_files(spark):
     paths = ["a/b.WEBP", "m.safetensors", "x.tar", "y.gz", "docs/z.png", "assets/public/v.mp4", "assets/v.mp4", "ok.txt", "noext"]
     got = readers.forbidden_files(spark.createDataFrame([(p,) for p in paths], "path string"))
     assert sorted(r.path for r in got.collect()) == ["a/b.WEBP", "assets/v.mp4", "m.safetensors", "x.tar", "y.gz"]
+
+
+def test_bad_archives(spark):
+    def zipped(names):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for n in names:
+                z.writestr(n, b"x")
+        return bytearray(out.getvalue())
+
+    rows = [("ok", zipped(["d.json", "a/b.txt"])), ("unsafe", zipped(["d.json", "../x", "/abs"])), ("none", zipped(["a"])), ("bad", bytearray(b"nope")), ("gone", None)]
+    got = readers.archive_members(spark.createDataFrame(rows, "package string, content binary"), "d.json").collect()
+    assert {(r.package, r.error) for r in got} == {("ok", None), ("unsafe", "unsafe_member_name"), ("none", "missing_descriptor"), ("bad", "bad_zip"), ("gone", "missing")}
+    assert next(r.path for r in got if r.package == "unsafe") == "../x, /abs"
+
+
+def test_manifests_and_pointers(spark, tmp_path):
+    for at, doc in (("a/m.json", '{"id":"x"}'), ("b/m.json", "broken"), ("b/p.pointer.json", '{"uri":"u"}'), (".git/q.pointer.json", '{"uri":"v"}')):
+        (tmp_path / at).parent.mkdir(exist_ok=True)
+        (tmp_path / at).write_text(doc)
+    got = readers.read_manifests(spark, str(tmp_path / "*/m.json"), "id string").collect()
+    assert sorted((r.path[-8:], r.id) for r in got) == [("a/m.json", "x"), ("b/m.json", None)]
+    assert [r.uri for r in readers.read_pointers(spark, str(tmp_path), "uri string").collect()] == ["u"]
+    texts = readers.read_texts(spark, str(tmp_path / "b")).collect()
+    assert sorted(r.text for r in texts) == ["broken", '{"uri":"u"}']
