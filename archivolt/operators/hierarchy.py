@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from archivolt.runtime import cut, save
 
-#: rows of up to so many values (ids of some 40 bytes) are broadcast
-BROADCAST_VALUES = 300_000
+#: rows of up to so many values (ids of some 40 bytes, so about 40 MB) are broadcast
+BROADCAST_VALUES = 1_000_000
 HEX64 = r"^(?:sha-?256)?[:=]?([0-9a-f]{64})$"
 
 
