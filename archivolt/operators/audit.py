@@ -96,9 +96,11 @@ def chain_report(events: DataFrame) -> DataFrame:
     )
 
 
-def emit_chain(events: DataFrame) -> DataFrame:
+def emit_chain(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """(event_id, record_id, line, prev_hash, hash): the log re-emitted as one hash chain per record.
 
+    ``heads`` is (record_id, lines, head): chains that are there already and go on; the others start with a null prev_hash.
+
     A hash needs the one before it, so a record's chain is a fold; the rows of a record pass through one task as a
     sorted stream, batch by batch, and only the last hash is kept. All else of an event is put together beforehand: the
     canonical JSON on either side of prev_hash's value.
@@ -106,12 +108,17 @@ def emit_chain(events: DataFrame) -> DataFrame:
     mark = "\u0002PREV\u0002"
     body = _canonical(F.lit(mark))
     w = Window.partitionBy("record_id").orderBy("event_time", "event_id")
-    parts = first_deliveries(events).withColumn("line", F.row_number().over(w)).select(
+    lined = first_deliveries(events).withColumn("line", F.row_number().over(w)).select(
         "record_id",
         "line",
         "event_id",
         F.split(body, r'"\\u0002PREV\\u0002"').alias("p"),
     ).select("record_id", "line", "event_id", F.get("p", F.lit(0)).alias("head"), F.get("p", F.lit(1)).alias("tail"))
+    if heads is None:
+        parts = lined.withColumn("before", F.lit(None).cast("string"))
+    else:
+        known = heads.select("record_id", "lines", F.col("head").alias("before"))
+        parts = lined.join(known, "record_id", "left").withColumn("line", (F.col("line") + F.coalesce("lines", F.lit(0))).cast("int"))
     ordered = parts.repartition("record_id").sortWithinPartitions("record_id", "line")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,9 +127,9 @@ def emit_chain(events: DataFrame) -> DataFrame:
         record, last = object(), None
         for pdf in batches:
             prev, own = [], []
-            for r, head, tail in zip(pdf["record_id"], pdf["head"], pdf["tail"], strict=True):
+            for r, head, tail, before in zip(pdf["record_id"], pdf["head"], pdf["tail"], pdf["before"], strict=True):
                 if r != record:
-                    record, last = r, None
+                    record, last = r, before
                 prev.append(last)
                 value = "null" if last is None else f'"{last}"'
                 last = "sha256:" + hashlib.sha256(f"{head}{value}{tail}".encode()).hexdigest()
