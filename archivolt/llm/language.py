@@ -26,6 +26,8 @@ MAX_SAMPLES = 4_000
 ORDERS = (1, 2, 3)
 WEIGHTS = (0.3, 0.7, 1.0)
 HASH_BITS = 20
+#: units whose presence matrix is held at once
+UNITS_AT_ONCE = 1024
 RIDGE = 0.05
 #: a sentence counts as one in a language from so many letters (Han characters count thrice) and n-grams known
 MIN_LETTERS = 24
@@ -122,7 +124,7 @@ class Model:
 
     def score(self, cp: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         """start, text, lang, margin, letters, known of every unit of the texts laid end to end in ``cp``."""
-        n, v = len(cp), len(self.order_of)
+        n = len(cp)
         starts = unit_starts(cp, offsets)
         units = len(starts)
         unit = np.zeros(n, dtype=np.int64)
@@ -130,10 +132,11 @@ class Model:
         unit = np.cumsum(unit) - 1
         folded = fold_table()[cp]
         letter = folded != 32
-        seen = np.zeros(units * v, dtype=bool)
-        total3 = known3 = None
+        hits: list[tuple[np.ndarray, np.ndarray]] = []  # (unit, n-gram) by order, in order of the units
+        total3 = known3 = np.zeros(units, dtype=np.int64)
         for order, table in zip(ORDERS, self.slots, strict=True):
             if n < order:
+                hits.append((np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)))
                 continue
             ids = table[gram_slots(folded, order)][: n - order + 1]
             same = unit[: n - order + 1] == unit[order - 1 :]
@@ -142,25 +145,28 @@ class Model:
                 has |= letter[k : n - order + 1 + k]
             valid = same & has
             hit = np.flatnonzero(valid & (ids >= 0))
-            seen[unit[hit] * v + ids[hit]] = True
+            hits.append((unit[hit], ids[hit].astype(np.int64)))
             if order == 3:
                 total3 = np.bincount(unit[: n - 2][valid], minlength=units)
                 known3 = np.bincount(unit[hit], minlength=units)
-        if total3 is None:
-            total3 = known3 = np.zeros(units, dtype=np.int64)
-        at = np.flatnonzero(seen)
-        u, g = at // v, at % v
         scores = np.zeros((units, len(self.languages)))
-        for i, order in enumerate(ORDERS):
-            own = self.order_of[g] == order
-            uo, go = u[own], g[own]
-            if not len(uo):
-                continue
-            count = np.bincount(uo, minlength=units)
-            first = np.flatnonzero(np.concatenate(([True], uo[1:] != uo[:-1])))
-            sums = np.add.reduceat(self.weights[go], first, axis=0)
-            rows = uo[first]
-            scores[rows] += WEIGHTS[i] * sums / np.sqrt(count[rows])[:, None]
+        bases = np.concatenate(([0], np.cumsum([(self.order_of == order).sum() for order in ORDERS])))
+        # presence (units x n-grams) times weights, in blocks of units, so that memory does not follow the number of units
+        for low in range(0, units, UNITS_AT_ONCE):
+            high = min(units, low + UNITS_AT_ONCE)
+            for i, (u, g) in enumerate(hits):
+                part = slice(*np.searchsorted(u, (low, high)))
+                base, width = int(bases[i]), int(bases[i + 1] - bases[i])
+                seen = np.zeros((high - low) * width, dtype=bool)
+                seen[(u[part] - low) * width + (g[part] - base)] = True
+                at = np.flatnonzero(seen)
+                if not len(at):
+                    continue
+                uo, go = at // width, at % width + base
+                count = np.bincount(uo, minlength=high - low)
+                first = np.flatnonzero(np.concatenate(([True], uo[1:] != uo[:-1])))
+                rows = uo[first]
+                scores[low + rows] += WEIGHTS[i] * np.add.reduceat(self.weights[go], first, axis=0) / np.sqrt(count[rows])[:, None]
         best = scores.argmax(axis=1)
         top = scores[np.arange(units), best] if units else np.zeros(0)
         rest = scores.copy()

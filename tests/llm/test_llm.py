@@ -290,6 +290,31 @@ def test_language_held_out(samples):
     assert right / len(samples[1::2]) > 0.98
 
 
+def test_language_blocks(samples, monkeypatch):
+    """Scores do not depend on how many units are held at once; a text of very many lines needs no matrix of them all."""
+    import tracemalloc
+
+    model = language.fit(samples)
+    text = "\n".join(t for _, t in samples) + "\n" * 120_000
+    cp = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    tracemalloc.start()
+    whole = model.score(cp, np.array([0]))
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+    monkeypatch.setattr(language, "UNITS_AT_ONCE", 7)
+    head = cp[:20_000]
+    small = model.score(head, np.array([0]))
+    monkeypatch.setattr(language, "UNITS_AT_ONCE", 10_000)
+    large = model.score(head, np.array([0]))
+    assert np.allclose(small["margin"], large["margin"]) and (small["best"] == large["best"]).all() and len(whole["best"]) > 120_000
+
+
+def test_other_scripts_have_no_language(spark, samples):
+    rows = [("document", "1", "Это предложение написано на русском языке."), ("document", "2", "Αυτή η πρόταση είναι γραμμένη στα ελληνικά."), ("document", "3", "이 문장은 한국어로 쓰여 있습니다.")]
+    df = spark.createDataFrame(rows, "item_kind string, item_id string, text string")
+    assert language.stretches(df, language.fit(samples)).count() == 0
+
+
 def test_language_table(spark, samples):
     by = {lang: [t for a, t in samples if a == lang] for lang in language.LANGUAGES}
     mixed = by["en"][0] + " " + by["fr"][1] + " " + by["en"][2]
