@@ -12,8 +12,8 @@ at least one whole block of the one document, and the other document holds that
 Exact copies are one class: their blocks and windows are merged before anything is joined, and copies are multiplied out
 only in the result. The join on the hash is salted: the windows of a hash that stands in very many places are dealt out
 over many tasks, and its blocks go to each. The filter is broadcast and has at most ``MAX_FILTER_BYTES``; beyond that, anchors are chosen by content on both sides (the
-windows that are the least of any ``least - block + 1`` in a row) and shared hashes are found by a shuffle join, which
-needs no broadcast and finds the same spans.
+windows that are the least of any ``least - block + 1`` in a row), shared hashes are found by a shuffle of hashes, and only
+a filter of the shared ones is broadcast, behind the same bound; the spans found are the same.
 """
 
 from __future__ import annotations
@@ -278,36 +278,70 @@ def _anchors(texts: DataFrame, block: int, least: int, shared: HashFilter, every
     return texts.mapInArrow(scan, ANCHOR)
 
 
+def _chosen(h: np.ndarray, row: int) -> np.ndarray:
+    """Positions of the windows of a text that are the least of some ``row`` windows in a row; ties are all taken."""
+    if not len(h):
+        return np.zeros(0, dtype=np.int64)
+    low = sliding_min(h, min(row, len(h)))
+    edge = np.zeros(row - 1, dtype=np.uint64)
+    return np.flatnonzero(h == _sliding_max(np.concatenate((edge, low, edge)), row)[: len(h)])
+
+
 def _content_anchors(texts: DataFrame, block: int, least: int, every: bool, repeats: bool) -> DataFrame:
-    """The anchors beyond the filter's bound: windows that are the least of ``least - block + 1`` in a row, both ways."""
-    row = least - block + 1
-    schema = pa.schema([("hash", pa.int64()), ("key", pa.binary()), ("pos", pa.int32()), ("is_block", pa.bool_()), ("is_end", pa.bool_())])
+    """The anchors beyond the filter's bound: windows that are the least of ``least - block + 1`` in a row, both ways.
+
+    First the hashes that stand in several classes are found by a shuffle of hashes alone. They are few, so a second scan
+    looks its windows up in a filter of them and takes the text around them along; only if that filter too is beyond the
+    bound do all windows meet the shared hashes, and then their texts, in shuffle joins.
+    """
+    row, side = least - block + 1, least - block
+    classes = pa.schema([("hash", pa.int64()), ("class", pa.int64())])
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = np.frombuffer(b"".join(k[:8] for k in b.column(0).to_pylist()), dtype=np.int64)
+            for first, cp, off in runs(b.column(1).to_pylist()):
+                h = window_hashes(cp, block)
+                own = [h[off[d] : max(off[d], off[d + 1] - block + 1)] for d in range(len(off) - 1)]
+                some = [np.unique(o[_chosen(o, row)]) for o in own]
+                number = np.repeat(np.arange(len(some)), [len(x) for x in some])
+                yield _batch({"hash": np.concatenate(some).view(np.int64), "class": keys[first + number]}, classes)
+
+    met = texts.mapInArrow(sketch, "hash bigint, class bigint").groupBy("hash").agg((F.min("class") != F.max("class")).alias("multi"))
+    shared = cut(met.where("multi").select("hash"))
+    n = shared.count()
+    fits = 8 << HashFilter.log_words(n) <= MAX_FILTER_BYTES
+    lookup = texts.sparkSession.sparkContext.broadcast(build_filter(shared, n)) if fits else None
+    fields = [("hash", pa.int64()), ("key", pa.binary()), ("pos", pa.int32()), ("is_block", pa.bool_()), ("is_end", pa.bool_())]
+    schema = pa.schema([*fields, ("before", pa.int32()), ("around", pa.string())] if fits else fields)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = lookup.value if lookup else None
         for b in batches:
             keys, bodies = b.column(0).to_pylist(), b.column(1).to_pylist()
             for first, cp, off in runs(bodies):
                 h = window_hashes(cp, block)
                 for d in range(len(off) - 1):
-                    own = h[off[d] : off[d + 1] - block + 1]
-                    low = sliding_min(own, row)
-                    # every window that equals the least of some row through it; ties are all taken
-                    reach = np.full(len(own), False)
-                    pad = np.concatenate((np.zeros(row - 1, dtype=np.uint64), low, np.zeros(row - 1, dtype=np.uint64)))
-                    reach |= own == _sliding_max(pad, row)[: len(own)]
-                    pos = np.flatnonzero(reach)
+                    own = h[off[d] : max(off[d], off[d + 1] - block + 1)]
+                    pos = _chosen(own, row)
+                    if wanted:
+                        pos = pos[wanted.hits(own[pos])]
+                    if not len(pos):
+                        continue
                     kept = np.zeros(len(pos), dtype=bool)
                     kept[thin_periodic(np.zeros(len(pos), dtype=np.int64), pos, own[pos], block, block // 2 if repeats else None)] = True
                     if not (every or repeats):
                         pos, kept = pos[kept], kept[kept]
-                    yield _batch(
-                        {"hash": own[pos].view(np.int64), "key": [keys[first + d]] * len(pos), "pos": pos.astype(np.int32), "is_block": kept | repeats, "is_end": kept},
-                        schema,
-                    )
-
+                    out = {"hash": own[pos].view(np.int64), "key": [keys[first + d]] * len(pos), "pos": pos.astype(np.int32), "is_block": kept | repeats, "is_end": kept}
+                    if wanted:
+                        start = np.maximum(pos - side, 0)
+                        out["before"] = (pos - start).astype(np.int32)
+                        out["around"] = [bodies[first + d][s : p + block + side] for s, p in zip(start.tolist(), pos.tolist(), strict=True)]
+                    yield _batch(out, schema)
+
+    if fits:
+        return texts.mapInArrow(scan, ANCHOR)
     found = texts.mapInArrow(scan, "hash bigint, key binary, pos int, is_block boolean, is_end boolean").distinct()
-    shared = found.groupBy("hash").agg((F.min("key") != F.max("key")).alias("multi")).where("multi").select("hash")
-    side = least - block
     one_text = texts.groupBy("key").agg(F.first("text").alias("text"))
     return (
         found.join(shared, "hash")

@@ -536,10 +536,10 @@ def test_window_hashes():
     assert spans.sliding_min(np.array([5, 3, 9, 1, 7], dtype=np.uint64), 3).tolist() == [3, 1, 1]
 
 
-@pytest.mark.parametrize("filter_bytes", [spans.MAX_FILTER_BYTES, 0])
-@pytest.mark.parametrize("hot", [spans.HOT_PLACES, 3])
-def test_shared_spans_against_brute_force(spark, monkeypatch, filter_bytes, hot):
+@pytest.mark.parametrize(("filter_bytes", "shared_bytes", "hot"), [(spans.MAX_FILTER_BYTES, spans.MAX_FILTER_BYTES, spans.HOT_PLACES), (0, spans.MAX_FILTER_BYTES, 3), (0, 0, spans.HOT_PLACES)])
+def test_shared_spans_against_brute_force(spark, monkeypatch, filter_bytes, shared_bytes, hot):
     monkeypatch.setattr(spans, "HOT_PLACES", hot)
+    monkeypatch.setattr(spans, "MAX_FILTER_BYTES", shared_bytes)  # of the shared hashes, beyond the bound of the index
     rng = random.Random(3)
     noise = lambda n: "".join(rng.choice("abcdefgh ijk 中é😀") for _ in range(n))
     pool = [noise(rng.randint(40, 130)) for _ in range(8)] + ["ab" * 60, "x" * 150, "x" * 40 + noise(40), noise(20) + "y" * 80 + noise(10)]
