@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -73,14 +73,15 @@ def first_deliveries(events: DataFrame) -> DataFrame:
     return one.select("event_id", "e.ingested_at", *[f"e.{n}" for n in names], F.map_from_entries("e._m").alias("metadata"))
 
 
-def chain_report(events: DataFrame) -> DataFrame:
-    """(record_id, n_events, n_unlinked, n_out_of_order, first_bad): every record's log in order of event time and id.
+def chain_report(events: DataFrame, order: Sequence[str] = ("event_time", "event_id")) -> DataFrame:
+    """(record_id, n_events, n_unlinked, n_out_of_order, first_bad): every record's log, by default in order of event time
+    and id; ``order`` may name a line number instead.
 
     An event is linked if prev_hash has the digits of the hash before it (null or blank for the first). Order of wire
     times is by string. first_bad is the 1-based line of the first event that is not linked, null if there is none.
     """
     one = first_deliveries(events)
-    w = Window.partitionBy("record_id").orderBy("event_time", "event_id")
+    w = Window.partitionBy("record_id").orderBy(*order)
     before = F.lag(hex_digits(F.col("hash"))).over(w)
     lined = one.select(
         "record_id",

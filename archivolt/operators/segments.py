@@ -28,16 +28,17 @@ def paragraphs(df: DataFrame, text: str = "text", pattern: str = r"\n\n") -> Dat
     return df.select(*kept, F.posexplode_outer(found).alias("para", "text")).where("text is not null")
 
 
-def paragraph_atoms(df: DataFrame, text: str = "text", redacted: bool = True) -> DataFrame:
-    """Paragraph atoms: split at empty lines, capped at ``ATOM_CAP`` characters, redacted again by default.
+def paragraph_atoms(df: DataFrame, text: str = "text", redacted: bool = True, cap: int = ATOM_CAP) -> DataFrame:
+    """Paragraph atoms: split at empty lines, cut at ``cap`` characters, redacted again by default.
 
-    Adds (para, text, confidence, sensitivity, erasable, atom_id), the id derived from the content.
+    Adds (para, text, is_cut, confidence, sensitivity, erasable, atom_id), the id derived from the content.
     """
     body = df.withColumn(text, redact(F.col(text))) if redacted else df
     atoms = paragraphs(body, text, r"\n\s*\n+")
-    capped = atoms.withColumn("text", F.left("text", F.lit(ATOM_CAP)))
+    capped = atoms.withColumn("text", F.left("text", F.lit(cap)))
     key = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in capped.columns])
-    return capped.select(
+    with_flag = atoms.withColumn("is_cut", F.length("text") > cap).withColumn("text", F.left("text", F.lit(cap)))
+    return with_flag.select(
         "*",
         F.lit(0.6).alias("confidence"),
         F.lit("S2_SENSITIVE").alias("sensitivity"),

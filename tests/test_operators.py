@@ -35,6 +35,7 @@ def test_atoms_are_redacted_and_capped(spark):
     df = spark.createDataFrame([(1, "a@b.cc here\n\n" + "y" * 5000 + "\n \n\n z"), (2, None)], "doc_id int, text string")
     rows = sorted(segments.paragraph_atoms(df).collect(), key=lambda r: r.para)
     assert [r.text[:12] for r in rows] == ["<EMAIL> here", "y" * 12, "z"] and len(rows[1].text) == 4096
+    assert [r.is_cut for r in rows] == [False, True, False] and len(segments.paragraph_atoms(df, cap=9).collect()[1].text) == 9
     assert len({r.atom_id for r in rows}) == 3
 
 
@@ -136,6 +137,9 @@ def test_audit_hashes_chain_and_emission(spark):
     assert emitted["e1"].prev_hash == a["hash"] and emitted["e0"].prev_hash is None
     assert audit.append(df, df).count() == 0
     assert audit.chain_report(df.where("false")).count() == 0
+    backwards = df.withColumn("line", 9 - F.substring("event_id", 2, 1).cast("int"))
+    report = audit.chain_report(backwards, ["line"]).collect()[0]
+    assert (report.n_events, report.n_unlinked, report.first_bad) == (4, 4, 1)
 
 
 def test_combine_hashes(spark):
