@@ -32,11 +32,22 @@ def mentions(units: DataFrame, group: str, unit: list[str], text: str = "text",
     return each.join(frequent.select(group, "key"), [group, "key"], "left_semi")
 
 
+#: most aliases of a node
+MAX_ALIASES = 64
+
+
+def node_id(group: Column, key: Column) -> Column:
+    """The id of a node, derived from its group and key."""
+    return F.concat(F.lit("node_"), F.left(F.sha2(F.concat_ws("\u0001", group.cast("string"), key), 256), F.lit(12)))
+
+
 def nodes(found: DataFrame, group: str, unit: list[str]) -> DataFrame:
-    """(group, key, label, mentions, salience, node_id): label is the most frequent form, the first seen of equals."""
+    """(group, key, label, mentions, salience, node_id, aliases): label is the most frequent form, the first seen of equals;
+    aliases are the other forms in the order in which they were first seen, at most ``MAX_ALIASES``."""
     forms = found.groupBy(group, "key", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*unit, "pos")).alias("first"))
     per = forms.groupBy(group, "key").agg(
-        F.sum("n").alias("mentions"), F.min(F.struct((-F.col("n")).alias("n"), "first", "label")).alias("best")
+        F.sum("n").alias("mentions"), F.min(F.struct((-F.col("n")).alias("n"), "first", "label")).alias("best"),
+        F.array_sort(F.collect_list(F.struct("first", "label"))).alias("forms"),
     )
     top = F.max("mentions").over(Window.partitionBy(group))
     return per.select(
@@ -45,10 +56,17 @@ def nodes(found: DataFrame, group: str, unit: list[str]) -> DataFrame:
         F.col("best.label").alias("label"),
         "mentions",
         (F.col("mentions") / top).alias("salience"),
-        F.concat(F.lit("node_"), F.left(F.sha2(F.concat_ws("\u0001", F.col(group).cast("string"), "key"), 256), F.lit(12))).alias("node_id"),
+        node_id(F.col(group), F.col("key")).alias("node_id"),
+        F.slice(F.filter(F.transform("forms", lambda f: f["label"]), lambda x: x != F.col("best.label")), 1, MAX_ALIASES).alias("aliases"),
     )
 
 
+def links(edges: DataFrame, group: str) -> DataFrame:
+    """The edges with subject_node_id and object_node_id in place of the keys."""
+    kept = [c for c in edges.columns if c not in ("source", "target")]
+    return edges.select(*kept, node_id(F.col(group), F.col("source")).alias("subject_node_id"), node_id(F.col(group), F.col("target")).alias("object_node_id"))
+
+
 def edges(found: DataFrame, group: str, unit: list[str]) -> DataFrame:
     """(group, *unit, pos, source, target): each mention with the next one of its unit; n mentions make n - 1 edges."""
     following = F.lead("key").over(Window.partitionBy(group, *unit).orderBy("pos"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from archivolt.functions import text as tx
@@ -244,7 +244,39 @@ SELECT doc_id, key, label, mentions, mentions / max(mentions) OVER (PARTITION BY
 def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Entities of every document, every line a unit."""
     found, _ = pipelines.knowledge_graph(_docs(spark, d))
-    return found.drop("node_id")
+    return found.drop("node_id", "aliases")
+
+
+_NODE_ID = "'node_' || left(sha256(doc_id::VARCHAR || chr(1) || {}), 12)"
+
+
+@query(
+    f"""
+WITH {_MENTIONS},
+n AS (SELECT doc_id, key, count(DISTINCT label) AS forms FROM first GROUP BY doc_id, key)
+SELECT doc_id, {_NODE_ID.format("key")} AS node_id, least(64, forms - 1)::INTEGER AS n_aliases FROM n
+"""
+)
+def graph_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of the entities of every document, and how many other forms each has."""
+    found, _ = pipelines.knowledge_graph(_docs(spark, d))
+    return found.select("doc_id", "node_id", F.size("aliases").alias("n_aliases"))
+
+
+@query(
+    f"""
+WITH {_MENTIONS},
+e AS (SELECT doc_id, para, i, key AS source, lead(key) OVER (PARTITION BY doc_id, para ORDER BY i) AS target FROM first)
+SELECT doc_id, {_NODE_ID.format("source")} AS subject_node_id, {_NODE_ID.format("target")} AS object_node_id, para::INTEGER AS para,
+       (row_number() OVER (PARTITION BY doc_id, para ORDER BY i))::INTEGER AS number
+FROM e WHERE target IS NOT NULL
+"""
+)
+def graph_links(spark: SparkSession, d: str) -> DataFrame:
+    """The edges between the ids of neighbouring entities, numbered within their line."""
+    _, found = pipelines.knowledge_graph(_docs(spark, d))
+    number = F.row_number().over(Window.partitionBy("doc_id", "para").orderBy("pos"))
+    return graph.links(found, "doc_id").select("doc_id", "subject_node_id", "object_node_id", F.col("para").cast("int").alias("para"), number.alias("number"))
 
 
 @query(

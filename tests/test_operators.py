@@ -69,6 +69,9 @@ def test_graph(spark):
     nodes = {r.key: (r.mentions, r.salience) for r in graph.nodes(found, "g", ["u"]).collect()}
     assert nodes == {"the hague": (1, 0.5), "ada lovelace": (1, 0.5), "paris": (2, 1.0), "hague": (1, 0.5)}
     edges = sorted((r.u, r.source, r.target) for r in graph.edges(found, "g", ["u"]).collect())
+    ids = {r.node_id for r in graph.nodes(found, "g", ["u"]).collect()}
+    ends = graph.links(graph.edges(found, "g", ["u"]), "g").collect()
+    assert {i for r in ends for i in (r.subject_node_id, r.object_node_id)} <= ids
     assert edges == [(0, "ada lovelace", "paris"), (0, "the hague", "ada lovelace"), (1, "paris", "hague")]
     assert {r.key for r in graph.mentions(df, "g", ["u"], min_mentions=2).collect()} == {"paris"}
 
@@ -315,3 +318,11 @@ def test_sentences(spark):
         got.setdefault(r.id, []).append((r.sentence, r.text, r.is_cut))
     assert [x for _, x, _ in sorted(got[1])] == ["One.", "Two!", "Three", "Four 3.5 x?"] and [x for _, x, _ in sorted(got[2])] == ["你好。", "好！"]
     assert set(got) == {1, 2, 5} and len(got[5][0][1]) == 4096 and got[5][0][2]
+
+
+def test_aliases_and_labels(spark):
+    """The most frequent form is the label, the others are aliases in the order in which they were first seen."""
+    rows = [("g", 0, 0, "ann", "ANN"), ("g", 0, 1, "ann", "Ann"), ("g", 1, 0, "ann", "aNN"), ("g", 2, 0, "ann", "Ann"), ("g", 3, 0, "bob", "Bob"), ("g", 4, 0, "bob", "BOB")]
+    df = spark.createDataFrame(rows, "g string, u int, pos int, key string, label string")
+    got = {r.key: (r.label, r.aliases) for r in graph.nodes(df, "g", ["u"]).collect()}
+    assert got == {"ann": ("Ann", ["ANN", "aNN"]), "bob": ("Bob", ["BOB"])}
