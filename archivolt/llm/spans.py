@@ -11,9 +11,10 @@ at least one whole block of the one document, and the other document holds that
 
 Exact copies are one class: their blocks and windows are merged before anything is joined, and copies are multiplied out
 only in the result. The join on the hash is salted: the windows of a hash that stands in very many places are dealt out
-over many tasks, and its blocks go to each. The filter is broadcast and has at most ``MAX_FILTER_BYTES``; beyond that, anchors are chosen by content on both sides (the
-windows that are the least of any ``least - block + 1`` in a row), shared hashes are found by a shuffle of hashes, and only
-a filter of the shared ones is broadcast, behind the same bound; the spans found are the same.
+over many tasks, and its blocks go to each. The filter is broadcast and has at most ``MAX_FILTER_BYTES``; beyond that,
+anchors are chosen by content on both sides (the windows that are the least of a row that any span of ``least`` holds),
+shared hashes are found by a shuffle of hashes, and only a filter of the shared ones is broadcast, behind the same bound;
+the spans found are the same.
 """
 
 from __future__ import annotations
@@ -396,9 +397,9 @@ def salted(places: DataFrame) -> DataFrame:
 def class_hits(
     documents: DataFrame, least: int = 200, max_filter_bytes: int = MAX_FILTER_BYTES, every: bool = False, repeats: bool = False
 ) -> DataFrame:
-    """(key_a, key_b, pos_a, pos_b, left, right): equal blocks of two different texts that extend to ``least`` or more.
+    """(key_a, key_b, pos_a, pos_b, left, right, block): equal blocks of two different texts that extend to ``least`` or more.
 
-    left and right are the equal characters on either side of the block, up to ``least - block``. Either key_a < key_b
+    block is their length, left and right are the equal characters on either side, up to ``least - block``. Either key_a < key_b
     and one hit at least for every pair and stretch, or with ``every`` both ways round and all hits in text b. With
     ``repeats`` key_a < key_b and one hit at least for every maximal repeat: where a block and a window both lie inside
     of periodic stretches, the hit one period or block before them is of the same repeat, so one of the two is always
@@ -417,6 +418,8 @@ def class_hits(
         shared = cut(probes.distinct().join(index, "hash", "left_semi"))
         anchors = _anchors(texts, block, least, build_filter(shared, shared.count()), every, repeats)
     else:
+        block = least - least // 4  # longer windows, chosen from shorter rows, are shared by fewer texts
+        side = least - block
         anchors = _content_anchors(texts, block, least, every, repeats)
     once = anchors.groupBy("hash", "key", "pos", "is_block", "is_end").agg(F.first(F.struct("before", "around")).alias("v"))
     once = salted(cut(once))
@@ -434,7 +437,7 @@ def class_hits(
         joined = a.join(b, ["hash", "salt"])
     met = joined.where("key_a <> key_b" if every else "key_a < key_b")
     grown = met.select("key_a", "key_b", "pos_a", "pos_b", extend("va.before", "va.around", "vb.before", "vb.around").alias("e"))
-    return grown.select("key_a", "key_b", "pos_a", "pos_b", "e.left", "e.right").where(
+    return grown.select("key_a", "key_b", "pos_a", "pos_b", "e.left", "e.right", F.lit(block).alias("block")).where(
         (F.col("left") >= 0) & (F.col("left") + F.col("right") + block >= least)
     )
 
@@ -490,8 +493,7 @@ def maximal_repeats(hits: DataFrame, texts: DataFrame, least: int = 200) -> Data
     A hit shows equal text up to ``least - block`` characters off its block. Merged stretches whose outermost hit ends
     only there are grown further in the texts (key, text).
     """
-    block = least // 2
-    side = least - block
+    block, side = F.col("block"), least - F.col("block")
     diagonal = Window.partitionBy("key_a", "key_b", "diagonal").orderBy("start", "stop")
     island = Window.partitionBy("key_a", "key_b", "diagonal")
     spans = hits.select(
@@ -541,7 +543,6 @@ def shared_report(documents: DataFrame, least: int = 200, max_filter_bytes: int
     One row per document that shares a span; class_id is the least doc_id with the same text. Spans of one document
     that overlap or touch are merged first. A text that has an exact copy is shared as a whole.
     """
-    block = least // 2
     hits = class_hits(documents, least, max_filter_bytes, every=True)
     copies = members(documents, least).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     whole = (
@@ -549,7 +550,7 @@ def shared_report(documents: DataFrame, least: int = 200, max_filter_bytes: int
         .join(copies.where("n > 1"), "key").select("key", F.lit(0).alias("start"), "stop").distinct()
     )
     stretches = (
-        hits.select(F.col("key_b").alias("key"), (F.col("pos_b") - F.col("left")).alias("start"), (F.col("pos_b") + block + F.col("right")).alias("stop"))
+        hits.select(F.col("key_b").alias("key"), (F.col("pos_b") - F.col("left")).alias("start"), (F.col("pos_b") + F.col("block") + F.col("right")).alias("stop"))
         .unionByName(whole)
         .distinct()
     )
