@@ -191,7 +191,19 @@ def moderation_rule_counts(spark: SparkSession, d: str) -> DataFrame:
     return _flags(spark, d).groupBy("doc_id", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    """
+WITH m AS (
+  SELECT d.doc_id, r.rule_name, coalesce(r.category, 'custom') AS category, coalesce(r.severity, 'medium') AS severity,
+         list_transform(regexp_split_to_array(d.text, '(?i)' || r.pattern), lambda x: length(x)) AS gaps,
+         list_transform(regexp_extract_all(d.text, r.pattern, 0, 'i'), lambda x: length(x)) AS sizes
+  FROM documents d, (SELECT rule_name, category, severity, unnest(patterns) AS pattern FROM policy_rules) r
+  WHERE regexp_matches(d.text, r.pattern, 'i')),
+e AS (SELECT *, unnest(range(1, len(sizes) + 1)) AS i FROM m),
+s AS (SELECT *, (list_sum(gaps[1:i]) + coalesce(list_sum(sizes[1:i - 1]), 0))::INTEGER AS start FROM e)
+SELECT doc_id, rule_name AS rule, category, severity, start, (start + sizes[i])::INTEGER AS "end" FROM s
+"""
+)
 def moderation_spans(spark: SparkSession, d: str) -> DataFrame:
     """Places of all matches."""
     return _flags(spark, d)
